@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.runtime import tables
-from . import bpe, canonical, groupsplit, mixing, overlap, termcounts
+from . import bpe, canonical, groupsplit, mixing, overlap, pii, sentences, termcounts
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +76,21 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return termcounts.marked(frames, _fields()).select("field_name", "term", "n_occurrences", "n_rows", "mark")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    frames, parts = tables(spark, d, "frames", "name_parts")
+    return pii.mentions(frames, pii.collect_model(parts))
+
+
+def p5_placeholders(spark: SparkSession, d: str) -> DataFrame:
+    frames, parts = tables(spark, d, "frames", "name_parts")
+    return pii.redact(frames, pii.collect_model(parts))
+
+
+def p5_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    frames, parts = tables(spark, d, "frames", "name_parts")
+    return pii.pseudonymize(frames, pii.collect_model(parts), secret="tessera")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     (documents,) = tables(spark, d, "documents")
     return bpe.encode_ids(documents)
@@ -92,6 +107,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(sizes, mixing.mix(sizes, targets), targets)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    (documents,) = tables(spark, d, "documents")
+    return sentences.split_sentences(documents)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
