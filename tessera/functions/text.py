@@ -28,6 +28,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row; lambdas would otherwise repeat it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
@@ -113,15 +118,15 @@ def strip_accents(c: Column | str) -> Column:
 
 def dedupe_ignoring_case(a: Column) -> Column:
     """First of equal strings (ignoring case), in order."""
-    low = F.transform(a, F.lower)
-    return F.filter(a, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return let(F.struct(a.alias("a"), F.transform(a, F.lower).alias("low")), lambda v: F.filter(v["a"], lambda x, i: F.array_position(v["low"], F.lower(x)) == i + 1))
 
 
 def headings(c: Column | str, window: int = 400) -> Column:
     """Candidate titles of a text, most explicit first."""
-    head = truncate(c, max(window, 64))
-    explicit = F.concat(*[F.regexp_extract_all(head, F.lit(p), F.lit(1)) for p in TITLE_FORMS])
-    explicit = F.filter(F.transform(explicit, strip_marks), lambda h: (h != "") & ~h.rlike(NON_TITLE))
+
+    def explicit(head: Column) -> Column:
+        found = F.concat(*[F.regexp_extract_all(head, F.lit(p), F.lit(1)) for p in TITLE_FORMS])
+        return F.filter(F.transform(found, strip_marks), lambda h: (h != "") & ~h.rlike(NON_TITLE))
 
     def title_of(raw: Column) -> Column:
         line = strip_marks(raw, MARKS + "\t")
@@ -129,12 +134,17 @@ def headings(c: Column | str, window: int = 400) -> Column:
         usable = ~raw.rlike(NON_TITLE) & (F.length(line) >= 3) & ~line.rlike(SALUTATION)
         return F.when(usable, F.when(F.length(first).between(3, 120), first).otherwise(F.lit(""))).otherwise(F.lit(None).cast("string"))
 
-    # a skipped line is null; a usable line without a title is "", and still ends the search once enough titles are found
-    lines = F.transform(F.transform(F.split(head, LINE_BREAK), strip), title_of)
-    lines = F.filter(lines, lambda x: x.isNotNull())
-    before = lambda i: F.size(F.filter(F.slice(lines, F.lit(1), i), lambda x: x != ""))
-    kept = F.filter(lines, lambda x, i: (x != "") & ((i == 0) | (F.size(explicit) + before(i) < MOST_TITLES)))
-    return dedupe_ignoring_case(F.concat(explicit, kept))
+    def all_of(v: Column) -> Column:
+        before = lambda i: F.size(F.filter(F.slice(v["lines"], F.lit(1), i), lambda x: x != ""))
+        kept = F.filter(v["lines"], lambda x, i: (x != "") & ((i == 0) | (F.size(v["explicit"]) + before(i) < MOST_TITLES)))
+        return F.concat(v["explicit"], kept)
+
+    def candidates(head: Column) -> Column:
+        # a skipped line is null; a usable line without a title is "", and still ends the search once enough titles are found
+        lines = F.filter(F.transform(F.transform(F.split(head, LINE_BREAK), strip), title_of), lambda x: x.isNotNull())
+        return let(F.struct(explicit(head).alias("explicit"), lines.alias("lines")), all_of)
+
+    return dedupe_ignoring_case(let(truncate(c, max(window, 64)), candidates))
 
 
 def position(text: Column, part: Column) -> Column:
