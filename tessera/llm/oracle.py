@@ -1,3 +1,21 @@
 """DuckDB SQL of the training-data queries that SQL can express over whole tables."""
 
-SQL: dict[str, str] = {}
+UID = "CASE WHEN regexp_replace(uid,'[^0-9]','','g')<>'' THEN 'u'||lpad(ltrim(regexp_replace(uid,'[^0-9]','','g'),'0'),9,'0') END"
+BLANK = r"'^[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*$'"
+TERMS = f"""t AS (SELECT row_id, 'tag' AS field_name, tag AS term FROM frames WHERE tag IS NOT NULL AND NOT regexp_matches(tag,{BLANK})
+ UNION ALL SELECT row_id, 'domain', domain FROM frames WHERE domain IS NOT NULL AND NOT regexp_matches(domain,{BLANK})
+ UNION ALL SELECT row_id, 'tag_term', unnest(regexp_extract_all(lower(tag),'[a-z0-9]+')) FROM frames WHERE tag IS NOT NULL),
+ k AS (SELECT field_name, term, count(*) AS n_occurrences, count(DISTINCT row_id) AS n_rows FROM t GROUP BY 1,2),
+ m AS (SELECT *, CASE WHEN n_rows<3 THEN 'rare' WHEN n_rows>0.05*(SELECT count(*) FROM frames) THEN 'common' END AS mark FROM k)"""
+WORDS = "regexp_extract_all(lower(text),'[\\p{L}\\p{N}]+')"
+
+SQL: dict[str, str] = {
+    "p2_found": f"SELECT uid FROM (SELECT {UID} AS uid, split_name FROM frames) WHERE split_name IS NOT NULL AND uid IS NOT NULL GROUP BY uid HAVING count(DISTINCT split_name)>1",
+    "p3_found": f"""WITH w AS (SELECT row_id, split_name='train' AS tr, {WORDS} AS w FROM frames WHERE text IS NOT NULL AND split_name IS NOT NULL),
+ g AS (SELECT row_id, tr, list_distinct(list_transform(range(1,len(w)-1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2])) AS g FROM w WHERE len(w)>=20),
+ x AS (SELECT row_id, tr, len(g) AS n, unnest(g) AS s FROM g),
+ p AS (SELECT a.row_id AS e, b.row_id AS t, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM x a JOIN x b ON a.s=b.s AND NOT a.tr AND b.tr GROUP BY 1,2)
+ SELECT least(e,t) AS row_id_a, greatest(e,t) AS row_id_b FROM p WHERE 2*k>=n+m-k""",
+    "p4_found": f"WITH {TERMS} SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
+    "p4_counts": f"WITH {TERMS} SELECT field_name, term, n_occurrences, n_rows, mark FROM m",
+}

@@ -27,7 +27,7 @@ OPEN = "“„«\"'(\\[（「『【¿¡‘"
 # Abbreviations. ``never`` never end a sentence, ``maybe`` end it before a capital.
 ABBREVIATIONS = {
     "en": (
-        "Dr Mr Mrs Ms Prof Rev Hon St Mt Fig Figs No Nos Vol Sec App Col Ch Art Eq p pp vs e.g i.e approx sec app col fig no vol ed eds cf viz ca esp incl"
+        "Dr Mr Mrs Ms Prof Rev Hon St Mt Fig Figs No Nos Vol Sec App Col Ch Art Eq p pp vs e.g i.e approx sec app col fig no vol art arts para paras cl pt par ch ed eds cf viz ca esp incl resp min max"
         " Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Gen Lt Capt Sgt attn Attn tel Tel ext Ext dr mr mrs ms prof st jan feb mar apr jun jul aug sep sept oct nov dec",
         "Inc Ltd Corp Co Bros etc a.m p.m U.S U.K U.N Ph.D M.D B.A M.A Jr Sr Ave Rd Blvd dept Dept inc ltd corp co u.s u.k ph.d",
     ),
@@ -94,7 +94,7 @@ def _rules() -> dict[str, list[tuple[bool, str, str]]]:
         (True, r"[!?;][!?]*$", r"\s+\p{Ll}"),
         (False, rf"\.[{CLOSE}]*$", r"\s*\p{Ll}"),
         (True, rf"[.!?;…]\s?[{CLOSE}]*$", rf"\s+[{OPEN}\p{{L}}\p{{N}}*#$£€&—–+-]"),
-        (True, rf"(?:[\p{{Ll}}\p{{N}})%][.!?;]|[.!?])[{CLOSE}]*$", rf"[{OPEN}]*\p{{Lu}}(?:\p{{Ll}}|['’\s-])"),  # missing space
+        (True, rf"(?:[\p{{Ll}}\p{{N}})%][.!?;]|[.!?])[{CLOSE}]*$", rf"[{OPEN}]*\p{{Lu}}(?:\p{{Ll}}|['’\s.-])"),  # missing space
         (True, rf"[!?;][{CLOSE}]*$", rf"[{OPEN}]+\p{{L}}"),
         (False, r"$", ""),
     ]
@@ -191,7 +191,7 @@ UNIT = regex.compile(
 )
 LABEL = regex.compile(r"\s*\p{L}[\p{L}\p{M}\s/'’-]{0,28}:\s+\S")
 ENDED = regex.compile(rf"[.!?…。！？।॥؟;:][{CLOSE}]*\s*$")
-WIDTH = 68  # lines shorter than this, with the next word, were not wrapped
+WIDTH = 71  # lines that stay within this with the next word were not wrapped
 
 
 def _wrapped(line: str, following: str) -> bool:
@@ -201,6 +201,19 @@ def _wrapped(line: str, following: str) -> bool:
     return len(line) + 1 + len(word) > WIDTH and len(line) <= 110
 
 
+def _is_notes(text: str, lines: list, i: int) -> bool:
+    """True for a block without any full stop in which not every line fills the width: notes, one a line."""
+    own = []
+    while i < len(lines) and lines[i] is not None:
+        own.append(text[lines[i][0] : lines[i][1]])
+        i += 1
+    own = [x for x in own if not UNIT.match(x)]
+    return not any(_STOP.search(x) for x in own) and not all(_wrapped(x, y) for x, y in zip(own, own[1:]))
+
+
+_STOP = regex.compile(r"[.!?…。！？।؟](?:\s|$)")
+
+
 def stretches(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, is_unit) of units and of stretches of running prose."""
     lines: list = []
@@ -217,6 +230,7 @@ def stretches(text: str) -> Iterator[tuple[int, int, bool]]:
             if lines and lines[-1] is not None:
                 lines[-1] = (*lines[-1][:2], True)
     start = end = prev = None
+    notes = False
     for i, ln in enumerate(lines):
         if ln is None:
             if start is not None:
@@ -225,14 +239,16 @@ def stretches(text: str) -> Iterator[tuple[int, int, bool]]:
             continue
         a, b, _ = ln
         s = text[a:b]
-        if start is not None and _wrapped(text[prev[0] : prev[1]], s) and not _hard_unit(s):
+        if i == 0 or lines[i - 1] is None:
+            notes = _is_notes(text, lines, i)
+        if start is not None and not notes and _wrapped(text[prev[0] : prev[1]], s) and not _hard_unit(s):
             end = b
         else:
             if start is not None:
                 yield start, end, False
             start = None
             nxt = lines[i + 1] if i + 1 < len(lines) and lines[i + 1] is not None else None
-            goes_on = nxt is not None and _wrapped(s, text[nxt[0] : nxt[1]]) and not _hard_unit(text[nxt[0] : nxt[1]])
+            goes_on = not notes and nxt is not None and _wrapped(s, text[nxt[0] : nxt[1]]) and not _hard_unit(text[nxt[0] : nxt[1]])
             if UNIT.match(s) or not goes_on and LABEL.match(s) and not ENDED.search(s):
                 yield a, b, True
             else:
