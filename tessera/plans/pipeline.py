@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import decode, ensemble, features, labels, lexical, linear, merging, metrics, prepare
 from ..sources.tables import Settings
+from .runtime import materialize
 
 
 def run_prepare(df: DataFrame, domains: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """(rows with split, vocabulary, reports) of a labelled corpus (row_id, uid, domain, top, tag, description, document_format, locale, text)."""
     s = settings or Settings()
     rows = df.drop("split").join(prepare.stratified_split(df, s.fractions, s.seed).select("uid", "split"), "uid")
-    vocab = labels.vocabulary(rows.filter("split = 'train'"))
+    rows = materialize(rows, "rows")
+    vocab = materialize(labels.vocabulary(rows.filter("split = 'train'")), "vocabulary")
     reports = {"splits": prepare.describe(rows), "label_space": prepare.label_space(rows), "domains": prepare.domain_report(rows, domains), "unseen": labels.unseen_rate(rows, vocab), "leaks": prepare.leaking(rows), "domain_named": prepare.domain_named(rows)}
     return rows, vocab, reports
 
@@ -77,7 +79,8 @@ class Bundle:
 
     def predict(self, df: DataFrame, k: int = 3) -> DataFrame:
         """Prediction records of ``df(row_id, text)``."""
-        t1, t2 = self.tier1_lp(df), self.tier2_lp(df)
+        df = materialize(df.select("row_id", "text"), "documents")
+        t1, t2 = materialize(self.tier1_lp(df), "tier1"), materialize(self.tier2_lp(df, materialize(self.channels(df), "channels")), "tier2")
         return decode.as_structs(decode.decode(t1, t2, self.lam), t1, decode.top_k(t1, t2, k, self.lam))
 
 
@@ -89,38 +92,38 @@ def run_train(rows: DataFrame, vocab: DataFrame, domains: DataFrame, settings: S
     s = settings or Settings()
     train, dev = rows.filter("split = 'train'"), rows.filter("split = 'dev'")
     tf = features.term_counts(train, features.word_terms())
-    terms = features.fit(tf, train.count(), s.min_df, s.max_features).cache()
-    w = features.transform(tf, terms)
+    terms = materialize(features.fit(tf, train.count(), s.min_df, s.max_features), "terms")
+    w = materialize(features.transform(tf, terms), "weights")
     hard = prepare.sample_weights(train.drop("top"), domains, s.hard_negative_weight).select("row_id", "weight")
     label = labels.top_index("top").cast("double").alias("label")
-    xt = linear.vectors(w, terms).join(train.select("row_id", label), "row_id").join(hard, "row_id").cache()
+    xt = materialize(linear.vectors(w, terms).join(train.select("row_id", label), "row_id").join(hard, "row_id"), "train-vectors").cache()
     dw = features.transform(features.term_counts(dev, features.word_terms()), terms)
-    xd = linear.vectors(dw, terms).join(dev.select("row_id", label), "row_id").cache()
+    xd = materialize(linear.vectors(dw, terms).join(dev.select("row_id", label), "row_id"), "dev-vectors").cache()
     tier1, _, _ = linear.select_c(xt, xd, grid, "weight")
     platt = linear.platt(linear.margins(tier1, xd).join(xd.select("row_id", "label"), "row_id"))
     gold = train.join(vocab.select("top", "tag"), ["top", "tag"]).select("row_id", F.concat_ws("\t", "top", "tag").alias("label"))
-    cents = features.centroids(w, gold).cache()
-    idfs = lexical.idf(train, s.idf_chars).cache()
+    cents = materialize(features.centroids(w, gold), "centroids")
+    idfs = materialize(lexical.idf(train, s.idf_chars), "idf")
     bundle = Bundle(s, vocab, terms, cents, idfs, lexical.default_idf(train), tier1, platt, {t: {c: 1.0 for c in CHANNELS} for t in labels.INDUSTRIES}, {}, 1.0)
-    ch = bundle.channels(dev).cache()
-    own = labels.with_tag_index(dev, vocab)
+    ch = materialize(bundle.channels(dev), "channels")
+    own = materialize(labels.with_tag_index(dev, vocab), "gold")
     for r in ensemble.search_weights(ch, own, list(CHANNELS)).collect():  # a few rows an industry
         bundle.weights[r.top][r.channel] = float(r.weight)
-    t2 = bundle.tier2_lp(dev, ch).cache()
+    t2 = materialize(bundle.tier2_lp(dev, ch), "tier2")
     for top in labels.INDUSTRIES:
         g = own.filter((F.col("top") == top) & (F.col("tag_idx") >= 0))
         bundle.temperature[top] = ensemble.best_temperature(ensemble.temperature_losses(t2.filter(F.col("top") == top), g, ensemble.temperatures(), score="mixed"))
-    t1 = bundle.tier1_lp(dev).cache()
+    t1 = materialize(bundle.tier1_lp(dev), "tier1")
     lambdas = dev.sparkSession.createDataFrame([(float(x),) for x in s.lambdas], "lam double")
-    bundle.lam = decode.best_lambda(decode.sweep_lambda(t1, bundle.tier2_lp(dev, ch), dev, lambdas))
+    bundle.lam = decode.best_lambda(decode.sweep_lambda(t1, materialize(bundle.tier2_lp(dev, ch), "tier2"), dev, lambdas))
     return bundle
 
 
 def run_evaluate(bundle: Bundle, rows: DataFrame, split: str = "test") -> dict[str, DataFrame]:
     """Reports on one split; label merges are learned on dev."""
     d = rows.filter(F.col("split") == split)
-    t1, t2 = bundle.tier1_lp(d).cache(), bundle.tier2_lp(d).cache()
-    c = metrics.compared(d, decode.decode(t1, t2, bundle.lam)).cache()
+    t1, t2 = materialize(bundle.tier1_lp(d), "tier1"), materialize(bundle.tier2_lp(d, materialize(bundle.channels(d), "channels")), "tier2")
+    c = materialize(metrics.compared(d, decode.decode(t1, t2, bundle.lam)), "compared")
     conf = metrics.confusion(c)
     out = {"headline": metrics.headline(c), "confusion": conf, "per_class": metrics.per_class(conf), "per_industry": metrics.per_industry(c), "locale": metrics.slices(c, "locale"), "format": metrics.slices(c, "document_format"), "coverage": metrics.coverage_curve(c, metrics.top_ok(), "top_confidence", "row_id"), "errors_by_domain": metrics.errors_by_domain(c), "errors": metrics.error_samples(c)}
     best = t2.groupBy("row_id", "top").agg(F.max_by("tag", F.struct(F.col("lp"), -F.col("tag_idx"))).alias("pred"))

@@ -23,7 +23,7 @@ def corpus(spark):
     rows = []
     for k, (domain, top, tag, words) in enumerate(KINDS):
         w = words.split()
-        for u in range(20):
+        for u in range(14):
             for loc in ("us", "intl"):
                 text = f"**{tag.title()}**\n\n{' '.join(w[: 2 + u % 3])} was filed on day {u}. {' '.join(w)}" + (" locale intl" if loc == "intl" else "")
                 rows.append((len(rows), f"u{k * 100 + u:09d}", domain, top, tag, f"A {tag} of {domain}", "structured" if u % 2 else "unstructured", loc, text, "s"))
