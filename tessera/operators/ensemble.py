@@ -11,12 +11,21 @@ WEIGHTS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0)
 
 
 def assemble(vocab: DataFrame, docs: DataFrame, scores: dict[str, DataFrame], key: str = "row_id") -> DataFrame:
-    """(key, top, tag_idx, one column a channel): every document against every tag of every industry; missing scores are 0."""
+    """(key, top, tag_idx, one column a channel): every document against every tag of every industry; missing scores are 0.
+
+    Only the scores there are get shuffled, once and by document; the full grid is laid out after it and stays
+    partitioned by ``key``, so that windows and groups by document don't shuffle it either.
+    """
     listed = vocab.select(F.struct("top", "tag_idx").alias("p")).agg(F.collect_list("p").alias("ps"))
-    out = docs.select(key).join(F.broadcast(listed)).select(key, F.explode("ps").alias("p")).select(key, "p.top", "p.tag_idx")
+    long = docs.select(key, F.lit(None).cast("string").alias("n"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("int").alias("i"), F.lit(0.0).alias("s"))
     for name, s in scores.items():
-        out = out.join(s.select(key, "top", "tag_idx", F.col("score").alias(name)), [key, "top", "tag_idx"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    return out
+        s = s.join(docs.select(key), key, "left_semi")
+        long = long.unionByName(s.select(key, F.lit(name).alias("n"), "top", F.col("tag_idx").cast("int").alias("i"), F.col("score").cast("double").alias("s")))
+    entry = lambda n: F.collect_list(F.when(F.col("n") == n, F.struct(F.struct("top", "i"), "s")))
+    per = long.groupBy(key).agg(*[F.map_from_entries(entry(n)).alias(n) for n in scores])
+    grid = per.join(F.broadcast(listed)).select(key, F.explode("ps").alias("p"), *scores)
+    at = F.struct(F.col("p.top").alias("top"), F.col("p.tag_idx").cast("int").alias("i"))
+    return grid.select(key, "p.top", "p.tag_idx", *[F.coalesce(F.try_element_at(n, at), F.lit(0.0)).alias(n) for n in scores])
 
 
 def zscores(df: DataFrame, names: list[str], by: list[str]) -> DataFrame:
@@ -47,16 +56,16 @@ def temperatures(low: float = 0.05, high: float = 20.0, points: int = 60) -> lis
     return [low * (high / low) ** (i / (points - 1)) for i in range(points)]
 
 
-def temperature_losses(scores: DataFrame, gold: DataFrame, grid: list[float], key: str = "row_id", score: str = "score", label: str = "tag_idx") -> DataFrame:
-    """(t, nll): mean negative log likelihood of the gold label at each temperature.
+def temperature_losses(scores: DataFrame, gold: DataFrame, grid: list[float], key: str = "row_id", score: str = "score", label: str = "tag_idx", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, t, nll): mean negative log likelihood of the gold label at each temperature, of each group of ``by``.
 
     Two aggregations for the whole grid: per document and temperature the log-sum-exp, then the mean.
     """
-    per = scores.groupBy(key).agg(F.max(score).alias("m"), F.collect_list(score).alias("ss"))
-    own = scores.join(gold.select(key, F.col(label)), [key, label]).select(key, F.col(score).alias("g"))
-    t = per.join(own, key).withColumn("t", F.explode(F.array(*[F.lit(float(x)) for x in grid])))
+    per = scores.groupBy(key, *by).agg(F.max(score).alias("m"), F.collect_list(score).alias("ss"))
+    own = scores.join(gold.select(key, *by, F.col(label)), [key, *by, label]).select(key, *by, F.col(score).alias("g"))
+    t = per.join(own, [key, *by]).withColumn("t", F.explode(F.array(*[F.lit(float(x)) for x in grid])))
     lse = F.log(F.aggregate(F.transform("ss", lambda s: F.exp((s - F.col("m")) / F.col("t"))), F.lit(0.0), lambda a, x: a + x))
-    return t.groupBy("t").agg(F.avg(-((F.col("g") - F.col("m")) / F.col("t") - lse)).alias("nll"))
+    return t.groupBy(*by, "t").agg(F.avg(-((F.col("g") - F.col("m")) / F.col("t") - lse)).alias("nll"))
 
 
 def best_temperature(losses: DataFrame) -> float:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as X
 from ..operators import decode as D, ensemble as E, features as FE, labels as L, lexical as LX, merging as M, metrics as ME, prepare as P
 from ..sources import tables as S
-from .runtime import scratch, tables
+from .runtime import materialize, scratch, tables
 
 Q: dict = {}
 
@@ -407,9 +407,13 @@ def l2_normalize(spark, d):
 
 
 # ensemble and decoding --------------------------------------------------------------------------------------------------
-def _scores(spark, d):
-    c, s = _lexical(spark, d)
-    return c, s.select("row_id", "top", "tag_idx", "tag", "heading", "verbatim")
+def _scores(spark, d, where="true"):
+    """The rows of ``where`` against every tag of every industry; a tag without evidence scores 0."""
+    c = _c(spark, d)
+    train, docs, v = c.filter("split = 'train'"), c.filter(where), _tags(spark, d)
+    s = materialize(LX.channels(docs, v, LX.idf(train), LX.default_idf(train)), "lexical")
+    a = E.assemble(v, docs, {n: s.withColumn("score", F.col(n)) for n in ("heading", "verbatim")})
+    return docs, a.join(F.broadcast(v), ["top", "tag_idx"]).select("row_id", "top", "tag_idx", "tag", "heading", "verbatim")
 
 
 @query
@@ -419,9 +423,9 @@ def zscore_mix(spark, d):
     return z.select("row_id", "top", "tag_idx", F.round(E.mix({"heading": 1.0, "verbatim": 0.5}), 5).alias("mixed"))
 
 
-def _tiers(spark, d):
+def _tiers(spark, d, where="true"):
     """Log probabilities of both tiers from lexical evidence alone; ``other`` scores a constant."""
-    c, s = _scores(spark, d)
+    c, s = _scores(spark, d, where)
     s = s.withColumn("score", F.col("heading") + 0.5 * F.col("verbatim"))
     t2 = E.with_log_softmax(s, "score", ["row_id", "top"]).select("row_id", "top", "tag_idx", "tag", "lp")
     best = s.groupBy("row_id", "top").agg(F.max("score").alias("score"))
@@ -436,9 +440,10 @@ def log_softmax(spark, d):
 
 @query
 def temperature_grid(spark, d):
-    c, s, _, _ = _tiers(spark, d)
-    g = L.with_tag_index(c.filter("top = 'finance' and split = 'dev'"), _tags(spark, d)).filter("tag_idx >= 0")
-    return E.temperature_losses(s.filter("top = 'finance'"), g, [0.1, 0.25, 0.5, 1.0, 2.0, 4.0]).select("t", F.round("nll", 5).alias("nll"))
+    """Loss of every industry's dev rows at every temperature of the grid; rows whose tag the list lacks have no target."""
+    c, s, _, _ = _tiers(spark, d, "split = 'dev'")
+    g = L.with_tag_index(c.filter(F.col("top").isin(*L.INDUSTRIES)), _tags(spark, d)).filter("tag_idx >= 0")
+    return E.temperature_losses(s, g, E.temperatures(), by=("top",)).select("top", "t", F.round("nll", 5).alias("nll"))
 
 
 @query
@@ -450,9 +455,9 @@ def joint_decode(spark, d):
 
 @query
 def lambda_sweep(spark, d):
-    c, _, t1, t2 = _tiers(spark, d)
+    c, _, t1, t2 = _tiers(spark, d, "split = 'dev'")
     grid = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5)], "lam double")
-    s = D.sweep_lambda(t1, t2, c.filter("split = 'dev'"), grid)
+    s = D.sweep_lambda(t1, t2, c, grid)
     return s.select("lam", *[F.round(x, 5).alias(x) for x in ("tier1", "end_to_end", "industry_exact")])
 
 
@@ -472,11 +477,8 @@ def predict_struct(spark, d):
 
 @query
 def weight_search(spark, d):
-    c, s = _scores(spark, d)
-    v = _tags(spark, d)
-    dev = c.filter("split = 'dev'")
-    ch = E.assemble(v, dev, {n: s.withColumnRenamed(n, "score") for n in ("heading", "verbatim")})
-    return E.search_weights(ch, L.with_tag_index(dev, v), ["heading", "verbatim"])
+    dev, s = _scores(spark, d, "split = 'dev'")
+    return E.search_weights(s, L.with_tag_index(dev, _tags(spark, d)), ["heading", "verbatim"])
 
 
 # metrics ----------------------------------------------------------------------------------------------------------------
