@@ -58,10 +58,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     (frames,) = tables(spark, d, "frames")
-    rows, pairs = overlap.overlaps(frames, keep=("source",))
+    rows, pairs = overlap.overlaps(frames, keep=("source",), cover=True)
     return overlap.overlap_report(rows, pairs, ["split_name", "source"])
 
 
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation record's share of words that stand in passages of any training text."""
+    (frames,) = tables(spark, d, "frames")
+    rows, _ = overlap.overlaps(frames, keep=("source",), cover=True)
+    return rows.filter("not is_train").select("row_id", "split_name", "source", F.round("covered", 6).alias("coverage"))
+
+
 def _fields() -> dict:
     return {"tag": termcounts.value_terms("tag"), "domain": termcounts.value_terms("domain"), "tag_term": termcounts.word_terms("tag")}
 
