@@ -275,8 +275,9 @@ def word_bigrams(spark, d):
 
 @query
 def char_ngrams(spark, d):
-    g = _tags(spark, d).select("tag", F.explode(X.char_grams("tag")).alias("g"))
-    return g.groupBy("tag", "g").agg(F.count("*").alias("n"))
+    """Every n-gram of the texts with its occurrences and rows."""
+    tf = FE.term_counts(_c(spark, d), FE.char_terms())
+    return tf.groupBy(F.col("term").alias("g")).agg(F.sum("tf").alias("n"), F.count("*").alias("n_rows"))
 
 
 @query
@@ -362,7 +363,7 @@ def tfidf_bigram_space(spark, d):
 
 @query
 def tfidf_char(spark, d):
-    c, tf, t = _space(spark, d, X.char_grams(X.truncate("tag", 1200)), 3)
+    c, tf, t = _space(spark, d, FE.char_terms())
     return FE.transform(tf, t).groupBy("row_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("w"), 5).alias("w"))
 
 

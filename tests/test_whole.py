@@ -1,5 +1,8 @@
 """Queries do the whole job: every row, tag and term counts, whatever evidence or length it has."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +41,31 @@ def test_temperatures_of_every_industry(spark, data, duck):
         for t in ensemble.temperatures():
             want[top, t] = np.mean([np.log(np.exp(s / t - (s / t).max()).sum()) + (s / t).max() - s[g] / t for s, g in mine])
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-5) for k in want)
+
+
+# features ---------------------------------------------------------------------------------------------------------------
+def grams(text):
+    """Character n-grams of 3 to 5 inside padded words."""
+    out = Counter()
+    for w in (text or "")[:1200].lower().split():
+        w = f" {w} "
+        for n in range(3, min(5, len(w)) + 1):
+            out.update(w[i : i + n] for i in range(len(w) - n + 1))
+    return out
+
+
+def test_char_ngrams_of_texts(spark, data):
+    docs = {r.row_id: grams(r.text) for r in spark.read.parquet(f"{data}/frames.parquet").select("row_id", "text").collect()}
+    n, df = Counter(), Counter()
+    for g in docs.values():
+        n.update(g)
+        df.update(g.keys())
+    assert {r.g: (r.n, r.n_rows) for r in Q["char_ngrams"](spark, data).collect()} == {g: (n[g], df[g]) for g in n}
+    kept = {g: math.log((1 + len(docs)) / (1 + k)) + 1 for g, k in df.items() if k >= 3}
+    assert len(kept) < 300_000
+    want = {}
+    for i, g in docs.items():
+        x = [(1 + math.log(k)) * kept[t] for t, k in g.items() if t in kept]
+        if x:
+            want[i] = (len(x), pytest.approx(sum(x) / math.sqrt(sum(v * v for v in x)), abs=1e-4))
+    assert {r.row_id: (r.n_terms, r.w) for r in Q["tfidf_char"](spark, data).collect()} == want
