@@ -343,13 +343,13 @@ def lexical_top1(spark, d):
 # features ---------------------------------------------------------------------------------------------------------------
 def _space(spark, d, terms, min_df=3, cap=300_000):
     c = _c(spark, d)
-    tf = FE.term_counts(c, terms)
+    tf = materialize(FE.term_counts(c, terms), "term-counts")
     return c, tf, FE.fit(tf, c.count(), min_df, cap)
 
 
 @query
 def tfidf_word(spark, d):
-    c, tf, t = _space(spark, d, FE.word_terms(two=False))
+    c, tf, t = _space(spark, d, FE.word_terms())
     w = FE.transform(tf, t).join(c.select("row_id", "source"), "row_id")
     return w.groupBy("source", "term").agg(F.round(F.sum("w"), 5).alias("w"))
 
@@ -369,25 +369,30 @@ def tfidf_char(spark, d):
 
 @query
 def feature_space_size(spark, d):
-    return FE.space(_space(spark, d, FE.word_terms(two=False))[2])
+    return FE.space(_space(spark, d, FE.word_terms())[2])
 
 
 def _rocchio(spark, d):
-    c, tf, t = _space(spark, d, FE.word_terms(two=False))
-    w = FE.transform(tf, t)
-    lab = c.filter("split = 'train' and top is not null").select("row_id", F.col("top").alias("label"))
+    """Centroids of every tag of every industry in the space of words and word pairs."""
+    c, tf, t = _space(spark, d, FE.word_terms())
+    w = materialize(FE.transform(tf, t), "weights")
+    lab = c.filter("split = 'train'").join(_tags(spark, d), ["top", "tag"]).select("row_id", F.concat_ws("\t", "top", "tag").alias("label"))
     return c, w, FE.centroids(w, lab)
 
 
+def _label():
+    return [F.split("label", "\t")[i].alias(n) for i, n in enumerate(("top", "tag"))]
+
+
 @query
 def rocchio_centroids(spark, d):
-    return _rocchio(spark, d)[2].select("label", "term", F.round("c", 6).alias("c"))
+    return _rocchio(spark, d)[2].select(*_label(), "term", F.round("c", 6).alias("c"))
 
 
 @query
 def rocchio_scores(spark, d):
     c, w, cents = _rocchio(spark, d)
-    return FE.centroid_scores(w, cents).select("row_id", "label", F.round("score", 5).alias("score"))
+    return FE.centroid_scores(w, cents).select("row_id", *_label(), F.round("score", 5).alias("score"))
 
 
 def _prototypes(spark, d):

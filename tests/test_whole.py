@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ensemble
-from tessera.plans.oracle import C, LEX, SQL, V
+from tessera.plans.oracle import C, LEX, SQL, V, WORDS
 from tessera.plans.queries import Q
 
 # every document against every tag, zeros included
@@ -69,3 +69,21 @@ def test_char_ngrams_of_texts(spark, data):
         if x:
             want[i] = (len(x), pytest.approx(sum(x) / math.sqrt(sum(v * v for v in x)), abs=1e-4))
     assert {r.row_id: (r.n_terms, r.w) for r in Q["tfidf_char"](spark, data).collect()} == want
+
+
+PAIRED = f"(SELECT row_id, {WORDS} AS t FROM c)"
+BOTH = "unnest(list_concat(t, list_transform(range(1,len(t)), lambda i: t[i]||' '||t[i+1])))"
+
+
+def paired(name):
+    """The query's SQL over words and word pairs, and centroids of every tag."""
+    one = f"unnest({WORDS}) AS term FROM c)"
+    sql = SQL[name]
+    assert sql.count(one) == 1
+    sql = sql.replace(one, f"{BOTH} AS term FROM {PAIRED})").replace("SELECT row_id, top AS label FROM c WHERE split='train' AND top IS NOT NULL", "SELECT row_id, c.top||chr(9)||c.tag AS label FROM c JOIN v ON v.top=c.top AND v.tag=c.tag WHERE split='train'").replace(C, f"{C}, {V}")
+    return f"SELECT * EXCLUDE (label), split_part(label,chr(9),1) AS top, split_part(label,chr(9),2) AS tag FROM ({sql})" if "rocchio" in name else sql
+
+
+@pytest.mark.parametrize("name", ["tfidf_word", "feature_space_size", "rocchio_centroids", "rocchio_scores"])
+def test_word_pairs_and_tag_labels(same, name):
+    same(Q[name], paired(name))
