@@ -356,8 +356,8 @@ def tfidf_word(spark, d):
 
 @query
 def tfidf_bigram_space(spark, d):
-    """Most frequent terms of the word and word-pair space."""
-    _, _, t = _space(spark, d, FE.word_terms(), cap=1000)
+    """The word and word-pair space."""
+    _, _, t = _space(spark, d, FE.word_terms())
     return t.select("term", "df", F.round("idf", 6).alias("idf"))
 
 

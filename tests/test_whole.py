@@ -87,3 +87,8 @@ def paired(name):
 @pytest.mark.parametrize("name", ["tfidf_word", "feature_space_size", "rocchio_centroids", "rocchio_scores"])
 def test_word_pairs_and_tag_labels(same, name):
     same(Q[name], paired(name))
+
+
+def test_whole_bigram_space(same, spark, data):
+    same(Q["tfidf_bigram_space"], SQL["tfidf_bigram_space"].replace("LIMIT 1000", "LIMIT 300000"))
+    assert Q["tfidf_bigram_space"](spark, data).count() > 1000
