@@ -269,7 +269,7 @@ def tokenize_counts(spark, d):
 
 @query
 def word_bigrams(spark, d):
-    b = _c(spark, d).select("source", F.explode(X.bigrams(X.tokenize(X.truncate("text", 1200)))).alias("bigram"))
+    b = _c(spark, d).select("source", F.explode(X.bigrams(X.tokenize("text"))).alias("bigram"))
     return b.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("bigram").alias("n_distinct"))
 
 

@@ -92,3 +92,11 @@ def test_word_pairs_and_tag_labels(same, name):
 def test_whole_bigram_space(same, spark, data):
     same(Q["tfidf_bigram_space"], SQL["tfidf_bigram_space"].replace("LIMIT 1000", "LIMIT 300000"))
     assert Q["tfidf_bigram_space"](spark, data).count() > 1000
+
+
+def test_bigrams_of_whole_texts(spark, tmp_path):
+    text = " ".join(f"word{i % 700}" for i in range(900))
+    cols = ("uid", "domain", "top", "tag", "description", "document_format", "locale", "text", "source", "split_name")
+    rows = [(1, *[None] * 7, text, "a", "train"), (2, *[None] * 7, None, "b", "train"), (3, *[None] * 7, "one two", "b", None)]
+    spark.createDataFrame(rows, "row_id bigint, " + ", ".join(f"{c} string" for c in cols)).write.parquet(str(tmp_path / "frames.parquet"))
+    assert sorted(map(tuple, Q["word_bigrams"](spark, str(tmp_path)).select("source", "n", "n_distinct").collect())) == [("a", 899, 700), ("b", 1, 1)]
