@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .plans import pipeline
 from .plans.runtime import session, ship
-from .sources.tables import Settings, corpus, whole_texts, write_report, write_splits
+from .sources.tables import Settings, corpus, whole_texts, write_reports, write_splits
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -38,12 +38,12 @@ def main(argv: list[str] | None = None) -> int:
     rows, vocab, reports = pipeline.run_prepare(corpus(spark, a.data).filter("uid is not null"), domains, st)
     if a.verb == "prepare":
         write_splits(rows, st.path("cache", "splits"))
-        write_report({k: [r.asDict(True) for r in v.limit(10_000).collect()] for k, v in reports.items()}, st.path("reports", "prepare.json"))
+        write_reports(reports, st.path("reports"), "prepare")
     elif a.verb == "train":
         pipeline.run_train(rows, vocab, domains, st).save(st.path("models"))
     else:
         out = pipeline.run_evaluate(pipeline.Bundle.load(spark, st.path("models")), rows, a.split)
-        write_report({k: [r.asDict(True) for r in v.limit(10_000).collect()] for k, v in out.items()}, st.path("reports", f"evaluation_{a.split}.json"))
+        write_reports(out, st.path("reports"), f"evaluation_{a.split}")
     return 0
 
 

@@ -133,6 +133,24 @@ def write_report(report: dict, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=2, sort_keys=True, default=str))
 
 
+UNBOUNDED = ("domains", "leaks", "aliases")  # reports that grow with the data
+
+
+def write_reports(reports: dict[str, DataFrame], folder: str, name: str, most: int = 10_000) -> None:
+    """``name``.json with the rows of each bounded report; an unbounded one, or any of over ``most`` rows, is a table
+    ``name``/report of the folder, for which the JSON has its path and number of rows."""
+    out = {}
+    for k, v in reports.items():
+        rows = [] if k in UNBOUNDED else v.limit(most + 1).collect()
+        if k in UNBOUNDED or len(rows) > most:
+            path = os.path.join(folder, name, k)
+            v.write.mode("overwrite").parquet(path)
+            out[k] = {"table": path, "rows": v.sparkSession.read.schema(v.schema).parquet(path).count()}
+        else:
+            out[k] = [r.asDict(True) for r in rows]
+    write_report(out, os.path.join(folder, f"{name}.json"))
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row (path, text) a text file."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

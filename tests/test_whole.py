@@ -1,5 +1,6 @@
 """Queries do the whole job: every row, tag and term counts, whatever evidence or length it has."""
 
+import json
 import math
 from collections import Counter
 
@@ -100,3 +101,20 @@ def test_bigrams_of_whole_texts(spark, tmp_path):
     rows = [(1, *[None] * 7, text, "a", "train"), (2, *[None] * 7, None, "b", "train"), (3, *[None] * 7, "one two", "b", None)]
     spark.createDataFrame(rows, "row_id bigint, " + ", ".join(f"{c} string" for c in cols)).write.parquet(str(tmp_path / "frames.parquet"))
     assert sorted(map(tuple, Q["word_bigrams"](spark, str(tmp_path)).select("source", "n", "n_distinct").collect())) == [("a", 899, 700), ("b", 1, 1)]
+
+
+# reports ----------------------------------------------------------------------------------------------------------------
+def test_no_report_row_is_lost(spark, data, tmp_path, monkeypatch):
+    from tessera import cli
+
+    n = 10_003
+    few, many = spark.range(3).toDF("k"), spark.range(n).toDF("k")
+    monkeypatch.setenv("TESSERA_ARTIFACTS", str(tmp_path))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.setattr(cli, "write_splits", lambda *a: None)
+    monkeypatch.setattr(cli.pipeline, "run_prepare", lambda *a: (few, few, {"splits": few, "domains": many, "leaks": few, "label_space": many}))
+    assert cli.main(["prepare", "--data", data]) == 0
+    said = json.loads((tmp_path / "reports" / "prepare.json").read_text())
+    assert said["splits"] == [{"k": i} for i in range(3)]
+    for k, rows in (("domains", n), ("leaks", 3), ("label_space", n)):
+        assert said[k]["rows"] == rows and spark.read.parquet(said[k]["table"]).distinct().count() == rows
