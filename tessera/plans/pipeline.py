@@ -87,7 +87,7 @@ class Bundle:
 CHANNELS = ("rocchio", "heading", "verbatim")
 
 
-def run_train(rows: DataFrame, vocab: DataFrame, domains: DataFrame, settings: Settings | None = None, grid: tuple[float, ...] = (1.0,)) -> Bundle:
+def run_train(rows: DataFrame, vocab: DataFrame, domains: DataFrame, settings: Settings | None = None, grid: tuple[float, ...] | None = None) -> Bundle:
     """Train on split ``train``, choose everything else on ``dev``."""
     s = settings or Settings()
     train, dev = rows.filter("split = 'train'"), rows.filter("split = 'dev'")
@@ -99,7 +99,7 @@ def run_train(rows: DataFrame, vocab: DataFrame, domains: DataFrame, settings: S
     xt = materialize(linear.vectors(w, terms).join(train.select("row_id", label), "row_id").join(hard, "row_id"), "train-vectors").cache()
     dw = features.transform(features.term_counts(dev, features.word_terms()), terms)
     xd = materialize(linear.vectors(dw, terms).join(dev.select("row_id", label), "row_id"), "dev-vectors").cache()
-    tier1, _, _ = linear.select_c(xt, xd, grid, "weight")
+    tier1, _, _ = linear.select_c(xt, xd, grid or s.c_grid, "weight")
     platt = linear.platt(linear.margins(tier1, xd).join(xd.select("row_id", "label"), "row_id"))
     gold = train.join(vocab.select("top", "tag"), ["top", "tag"]).select("row_id", F.concat_ws("\t", "top", "tag").alias("label"))
     cents = materialize(features.centroids(w, gold), "centroids")

@@ -30,6 +30,7 @@ class Settings:
     max_features: int = 300_000
     embedding_scale: float = 0.6
     hard_negative_weight: float = 1.5
+    c_grid: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0, 8.0)
     lambdas: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5)
     merge_thresholds: tuple[float, ...] = (0.02, 0.04, 0.06, 0.08, 0.1, 0.15)
     merge_ratio: float = 0.5

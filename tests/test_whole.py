@@ -118,3 +118,24 @@ def test_no_report_row_is_lost(spark, data, tmp_path, monkeypatch):
     assert said["splits"] == [{"k": i} for i in range(3)]
     for k, rows in (("domains", n), ("leaks", 3), ("label_space", n)):
         assert said[k]["rows"] == rows and spark.read.parquet(said[k]["table"]).distinct().count() == rows
+
+
+def test_c_is_selected_on_dev(spark, monkeypatch):
+    from tessera.operators import linear
+    from tessera.plans import pipeline
+    from tessera.sources.tables import Settings
+
+    class Seen(Exception):
+        pass
+
+    def select_c(train, dev, grid, *a):
+        raise Seen(grid)
+
+    monkeypatch.setattr(linear, "select_c", select_c)
+    rows = spark.createDataFrame([(i, f"u{i}", "Bank", "finance", "loan", "a b loan text", s) for i, s in enumerate(("train", "dev"))], "row_id bigint, uid string, domain string, top string, tag string, text string, split string")
+    domains = spark.createDataFrame([("Bank", "finance", None)], "domain string, top string, hard_negative_of string")
+    vocab = spark.createDataFrame([("finance", 0, "loan")], "top string, tag_idx int, tag string")
+    for st, want in ((Settings(min_df=1), linear.GRID), (Settings(min_df=1, c_grid=(3.0,)), (3.0,))):
+        with pytest.raises(Seen) as e:
+            pipeline.run_train(rows, vocab, domains, st)
+        assert e.value.args[0] == want
