@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Tokens without weight in a tag name; endings that only look like plurals.
@@ -153,10 +151,7 @@ def position(text: Column, part: Column) -> Column:
 
 
 def uid_key(c: Column | str) -> Column:
-    """Standard spelling of a uid: ``u`` and its digits, filled up to nine."""
-    digits = F.regexp_replace(_col(c), "[^0-9]", "")
-    return F.when(F.length(digits) > 0, F.concat(F.lit("u"), F.lpad(digits, 9, "0")))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    """Standard spelling of a uid: ``u`` and its digits without leading zeros, filled up to nine; null if it has no digit."""
+    digits = F.regexp_replace(F.translate(_col(c), "０１２３４５６７８９", "0123456789"), "[^0-9]", "")
+    short = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    return F.when(F.length(digits) > 0, F.concat(F.lit("u"), F.when(F.length(short) < 9, F.lpad(short, 9, "0")).otherwise(short)))

@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+# The channels, the grid of their weights, the starts of the search and its tolerance.
 CHANNELS = ("linear", "rocchio", "prototype", "heading", "verbatim")
-WEIGHTS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0)
+WEIGHTS = (0.0, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0)
+STARTS = (0.0, 0.5, 0.25, 1.0)
+TOLERANCE = 1e-6
 
 
 def assemble(vocab: DataFrame, docs: DataFrame, scores: dict[str, DataFrame], key: str = "row_id") -> DataFrame:
@@ -86,7 +89,7 @@ def _search(stacked: np.ndarray, gold: np.ndarray, names: list[str], grid: tuple
         return float((np.tensordot(w, stacked, 1).argmax(1) == gold).mean()) if len(gold) else 0.0
 
     best, top = None, -1.0
-    for rest in (0.0, 0.5, 0.25, 1.0):
+    for rest in STARTS:
         w = np.full(len(names), rest)
         w[lead] = 1.0
         at = right(w)
@@ -95,7 +98,7 @@ def _search(stacked: np.ndarray, gold: np.ndarray, names: list[str], grid: tuple
             for k in range(len(names)):
                 others = np.tensordot(np.delete(w, k), np.delete(stacked, k, 0), 1)
                 for v in grid:
-                    if v != w[k] and (s := float(((others + v * stacked[k]).argmax(1) == gold).mean())) > at + 1e-6:
+                    if v != w[k] and (s := float(((others + v * stacked[k]).argmax(1) == gold).mean())) > at + TOLERANCE:
                         at, w[k], moved = s, v, True
             if not moved:
                 break

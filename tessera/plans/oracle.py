@@ -21,8 +21,9 @@ def tagtoks(x: str) -> str:
     return f"list_distinct(list_filter(string_split({x},' '), lambda w: w<>'' AND w NOT IN ('a','an','the','of','for','and','to','in','on')))"
 
 
-DIGITS = "regexp_replace(uid,'[^0-9]','','g')"
-C = f"""c AS (SELECT row_id, CASE WHEN {DIGITS}<>'' THEN 'u'||lpad({DIGITS},9,'0') END AS uid, domain, lower(trim(top)) AS top, {norm('tag')} AS tag,
+DIGITS = "regexp_replace(translate(uid,'０１２３４５６７８９','0123456789'),'[^0-9]','','g')"
+SHORT = f"ltrim({DIGITS},'0')"
+C = f"""c AS (SELECT row_id, CASE WHEN {DIGITS}<>'' THEN 'u'||lpad({SHORT},greatest(9,length({SHORT}))::INT,'0') END AS uid, domain, lower(trim(top)) AS top, {norm('tag')} AS tag,
  description, lower(trim(document_format)) AS document_format, lower(trim(locale)) AS locale, text, source, split_name AS split FROM frames)"""
 V = "v AS (SELECT top, tag_idx, " + norm("tag") + " AS tag FROM tag_list WHERE top<>'other')"
 IND = "('healthcare','finance','government')"
@@ -59,7 +60,10 @@ LEX = f"""{C}, {V}, {HEAD}, tr AS (SELECT * FROM c WHERE split='train'), nn AS (
  hit AS (SELECT row_id, top, tag_idx, tag, n_tokens, total, sum(CASE WHEN ih THEN 2*w ELSE w END) AS got, count(*) FILTER (WHERE ib) AS nb FROM sn JOIN tt USING (token) GROUP BY ALL),
  lx AS (SELECT hit.row_id, top, tag_idx, tag, got/(2.0::DOUBLE*total) + CASE WHEN list_contains(norms,tag) THEN 1.0::DOUBLE WHEN len(list_filter(heads, lambda s: len(s)>0 AND list_has_all(s,{tagtoks('tag')})))>0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS heading,
    CASE WHEN nb=n_tokens AND instr(body,tag)>0 THEN 1.0::DOUBLE-0.5::DOUBLE*(instr(body,tag)-1)/greatest(length(body),1) ELSE 0.0::DOUBLE END AS verbatim FROM hit JOIN b USING (row_id))"""
-TIER = f"""{LEX}, sc AS (SELECT *, heading+0.5::DOUBLE*verbatim AS score FROM lx),
+# every document against every tag, 0 without evidence
+DENSE = f"""{LEX}, dx AS (SELECT c.row_id, v.top, v.tag_idx, v.tag, coalesce(lx.heading,0.0::DOUBLE) AS heading, coalesce(lx.verbatim,0.0::DOUBLE) AS verbatim
+ FROM c CROSS JOIN v LEFT JOIN lx ON lx.row_id=c.row_id AND lx.top=v.top AND lx.tag_idx=v.tag_idx)"""
+TIER = f"""{DENSE}, sc AS (SELECT *, heading+0.5::DOUBLE*verbatim AS score FROM dx),
  t2 AS (SELECT row_id, top, tag_idx, tag, score-mx-ln(sum(exp(score-mx)) OVER (PARTITION BY row_id,top)) AS lp FROM (SELECT *, max(score) OVER (PARTITION BY row_id,top) AS mx FROM sc)),
  b1 AS (SELECT row_id, top, max(score) AS score FROM sc GROUP BY 1,2 UNION ALL SELECT row_id, 'other', 0.75::DOUBLE FROM c),
  t1 AS (SELECT row_id, top, score-mx-ln(sum(exp(score-mx)) OVER (PARTITION BY row_id)) AS lp FROM (SELECT *, max(score) OVER (PARTITION BY row_id) AS mx FROM b1))"""
@@ -72,16 +76,24 @@ def joint(lam: str) -> str:
 
 
 WORDS = "regexp_extract_all(strip_accents(lower(left(coalesce(text,''),2500))),'[\\p{L}\\p{M}\\p{N}_]{2,}')"
-TFIDF = f"""{C}, tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest({WORDS}) AS term FROM c) GROUP BY 1,2), n AS (SELECT count(*) AS n FROM c),
+PAIRED = f"SELECT row_id, unnest(list_concat(t, list_transform(range(1,len(t)), lambda i: t[i]||' '||t[i+1]))) AS term FROM (SELECT row_id, {WORDS} AS t FROM c)"
+TFIDF = f"""{C}, {V}, tf AS (SELECT row_id, term, count(*) AS tf FROM ({PAIRED}) GROUP BY 1,2), n AS (SELECT count(*) AS n FROM c),
  tm AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*)>=3),
  ti AS (SELECT term, df, cf, ln(1.0::DOUBLE+n)-ln(1.0::DOUBLE+df)+1.0::DOUBLE AS idf FROM tm, n),
  x AS (SELECT row_id, term, (1.0::DOUBLE+ln(tf))*idf AS x FROM tf JOIN ti USING (term)),
  w AS (SELECT row_id, term, x/sqrt(sum(x*x) OVER (PARTITION BY row_id)) AS w FROM x)"""
-ROC = f"""{TFIDF}, lab AS (SELECT row_id, top AS label FROM c WHERE split='train' AND top IS NOT NULL), ln_ AS (SELECT label, count(*) AS k FROM lab GROUP BY 1),
+ROC = f"""{TFIDF}, lab AS (SELECT row_id, c.top||chr(9)||c.tag AS label FROM c JOIN v ON v.top=c.top AND v.tag=c.tag WHERE split='train'), ln_ AS (SELECT label, count(*) AS k FROM lab GROUP BY 1),
  cm AS (SELECT label, term, sum(w)/any_value(k) AS m FROM w JOIN lab USING (row_id) JOIN ln_ USING (label) GROUP BY 1,2),
  ce AS (SELECT label, term, m/sqrt(sum(m*m) OVER (PARTITION BY label)) AS c FROM cm)"""
-GP = f"""{C}, {P}, {V}, gp AS (SELECT c.top, c.tag AS gold, p.tag AS pred FROM c JOIN p ON c.row_id=p.row_id AND c.top=p.top WHERE c.top IN {IND} AND p.tag<>''
+SPLIT_LABEL = "split_part(label,chr(9),1) AS top, split_part(label,chr(9),2) AS tag"
+# character n-grams of 3 to 5 inside padded words of the first 1,200 characters
+GRAMS = f"""{C}, pw AS (SELECT row_id, unnest(list_transform(list_filter(regexp_split_to_array(lower(left(coalesce(text,''),1200)),'{WS}+'), lambda w: w<>''), lambda w: ' '||w||' ')) AS w FROM c),
+ gr AS (SELECT row_id, unnest(flatten(list_transform(range(3,least(5,length(w))+1), lambda n: list_transform(range(1,length(w)-n+2), lambda i: substring(w,i,n))))) AS term FROM pw),
+ tf AS (SELECT row_id, term, count(*) AS tf FROM gr GROUP BY 1,2)"""
+TEMPERATURES = ",".join(f"'{0.05 * 400 ** (i / 59)!r}'::DOUBLE" for i in range(60))
+GPONLY = f"""gp AS (SELECT c.top, c.tag AS gold, p.tag AS pred FROM c JOIN p ON c.row_id=p.row_id AND c.top=p.top WHERE c.top IN {IND} AND p.tag<>''
  AND EXISTS (SELECT 1 FROM v WHERE v.top=c.top AND v.tag=c.tag) AND EXISTS (SELECT 1 FROM v WHERE v.top=c.top AND v.tag=p.tag))"""
+GP = f"{C}, {P}, {V}, {GPONLY}"
 ALIAS = "al AS (SELECT top, tag_a AS tag, max(tag_b) AS canonical FROM tag_pairs WHERE n_confused>=10 GROUP BY 1,2)"
 
 
@@ -97,6 +109,19 @@ CURVE = f"""WITH {CMP}, z AS (SELECT top_confidence AS c, row_id, ok::INT AS ok
  t AS (SELECT CAST(i AS INT) AS point, greatest(1, CAST(round_even(i/19.0::DOUBLE*(SELECT count(*) FROM z),0) AS BIGINT)) AS take FROM range(1,20) g(i)),
  cv AS (SELECT point, round(take/n,4) AS coverage, round(hits/take,5) AS accuracy, round(c,6) AS threshold FROM r JOIN t ON r.r=t.take)"""
 CNT = "cnt AS (SELECT top, tag_a AS gold, tag_b AS pred, n_confused AS n FROM tag_pairs UNION ALL SELECT c.top, c.tag, c.tag, count(*) FROM c JOIN tag_list t ON t.top=c.top AND t.tag=c.tag GROUP BY 1,2)"
+# Label merging: edges in falling order of affinity, one step of the recursion each; the state is every tag's cluster.
+MERGE = f"""WITH RECURSIVE {C}, {CNT}, s AS (SELECT top, gold AS tag, sum(n) AS s FROM cnt GROUP BY 1,2),
+ nd AS (SELECT l.top, l.tag, row_number() OVER (PARTITION BY l.top ORDER BY tag_idx) AS i, coalesce(s.s,0)::BIGINT AS sup, count(*) OVER (PARTITION BY l.top) AS nn FROM tag_list l LEFT JOIN s USING (top,tag)),
+ af AS (SELECT p.top, least(a.i,b.i) AS i, greatest(a.i,b.i) AS j, sum(p.n_confused)/greatest(any_value(a.sup)+any_value(b.sup),1) AS w FROM tag_pairs p JOIN nd a ON a.top=p.top AND a.tag=p.tag_a JOIN nd b ON b.top=p.top AND b.tag=p.tag_b GROUP BY 1,2,3),
+ th AS (SELECT unnest([0.5,0.35,0.25,0.18,0.12,0.08]::DOUBLE[]) AS t),
+ mx AS (SELECT a.top, a.nn, list(coalesce(af.w,0.0::DOUBLE) ORDER BY a.i, b.i) AS m FROM nd a JOIN nd b USING (top) LEFT JOIN af ON af.top=a.top AND af.i=least(a.i,b.i) AND af.j=greatest(a.i,b.i) GROUP BY 1,2),
+ ed AS (SELECT t, top, i, j, row_number() OVER (PARTITION BY t,top ORDER BY w DESC, i DESC, j DESC) AS k FROM af, th WHERE w>=t),
+ r AS (SELECT t, top, 0::BIGINT AS k, range(1,nn+1) AS st FROM th, mx
+  UNION ALL SELECT t, top, k, CASE WHEN st[i]<>st[j] AND len(p)+len(q)<=8 AND list_min(flatten(list_transform(p, lambda a: list_transform(q, lambda b: m[(a-1)*nn+b]))))>=t*0.5::DOUBLE THEN list_transform(st, lambda x: CASE WHEN x=st[j] THEN st[i] ELSE x END) ELSE st END
+  FROM (SELECT r.t, r.top, e.k, e.i, e.j, st, m, nn, list_filter(range(1,nn+1), lambda x: st[x]=st[e.i]) AS p, list_filter(range(1,nn+1), lambda x: st[x]=st[e.j]) AS q FROM r JOIN ed e ON e.t=r.t AND e.top=r.top AND e.k=r.k+1 JOIN mx ON mx.top=r.top)),
+ fin AS (SELECT t, top, arg_max(st,k) AS st FROM r GROUP BY 1,2),
+ cl AS (SELECT t, nd.top, nd.tag, nd.i, sup, st[nd.i] AS c FROM fin JOIN nd USING (top)),
+ mg AS (SELECT t AS threshold, top, tag, first_value(tag) OVER (PARTITION BY t,top,c ORDER BY sup DESC, length(tag), i) AS canonical, count(*) OVER (PARTITION BY t,top,c) AS cluster_size FROM cl)"""
 
 SQL: dict[str, str] = {
     "pool_scan": f"SELECT {SEVEN} FROM raw_records UNION ALL SELECT uid, domain, tag, description, document_format, locale, text FROM frames",
@@ -139,8 +164,8 @@ SQL: dict[str, str] = {
     "singularize": f"SELECT w, {sing('w')} AS singular FROM (SELECT DISTINCT unnest({toks('text')}) AS w FROM documents)",
     "tag_tokens": f"WITH {C} SELECT row_id, coalesce(array_to_string(list_filter(string_split(tag,' '), lambda w, i: w<>'' AND w NOT IN ('a','an','the','of','for','and','to','in','on') AND list_position(string_split(tag,' '),w)=i),','),'') AS tokens FROM c",
     "tokenize_counts": f"SELECT row_id, len({toks('text')})::INT AS n_tokens FROM frames",
-    "word_bigrams": f"WITH t AS (SELECT source, {toks("left(coalesce(text,''),1200)")} AS t FROM frames), b AS (SELECT source, unnest(list_transform(range(1,len(t)), lambda i: t[i]||' '||t[i+1])) AS b FROM t) SELECT source, count(*) AS n, count(DISTINCT b) AS n_distinct FROM b GROUP BY 1",
-    "char_ngrams": f"WITH {V}, p AS (SELECT tag, unnest(list_transform(string_split(tag,' '), lambda w: ' '||w||' ')) AS w FROM v), g AS (SELECT tag, unnest(flatten(list_transform(range(3,least(5,length(w))+1), lambda n: list_transform(range(1,length(w)-n+2), lambda i: substring(w,i,n))))) AS g FROM p) SELECT tag, g, count(*) AS n FROM g GROUP BY 1,2",
+    "word_bigrams": f"WITH t AS (SELECT source, {toks('text')} AS t FROM frames), b AS (SELECT source, unnest(list_transform(range(1,len(t)), lambda i: t[i]||' '||t[i+1])) AS b FROM t) SELECT source, count(*) AS n, count(DISTINCT b) AS n_distinct FROM b GROUP BY 1",
+    "char_ngrams": f"WITH {GRAMS} SELECT term AS g, sum(tf)::BIGINT AS n, count(*) AS n_rows FROM tf GROUP BY 1",
     "strip_accents": "SELECT name_part, strip_accents(name_part) AS plain FROM name_parts",
     "extract_headings": f"WITH {C}, {HEAD} SELECT row_id, coalesce(array_to_string(hs,'¦'),'') AS headings FROM h4",
     "substring_position": f"WITH {C} SELECT row_id, CAST(instr({norm("left(coalesce(text,''),2500)")},tag)-1 AS INT) AS pos FROM c WHERE instr({norm("left(coalesce(text,''),2500)")},tag)>0",
@@ -152,16 +177,16 @@ SQL: dict[str, str] = {
     "heading_hit_rate": f"WITH {C}, {HEAD} SELECT split, count(*) AS n_rows, round(avg(coalesce(list_contains(list_transform(hs, lambda x: {norm('x')}),tag),false)::INT::DOUBLE),6) AS rate FROM h4 WHERE top IN {IND} AND tag<>'' GROUP BY split",
     "lexical_top1": f"WITH {LEX}, ow AS (SELECT lx.*, c.tag AS gold FROM lx JOIN c ON c.row_id=lx.row_id AND c.top=lx.top), bs AS (SELECT row_id, arg_max(tag,(heading,-tag_idx)) AS h, arg_max(tag,(verbatim,-tag_idx)) AS vv, arg_max(tag,(heading+0.5::DOUBLE*verbatim,-tag_idx)) AS cc FROM ow GROUP BY 1) SELECT top, count(*) AS n_rows, round(avg(coalesce(h=tag,false)::INT::DOUBLE),6) AS heading, round(avg(coalesce(vv=tag,false)::INT::DOUBLE),6) AS verbatim, round(avg(coalesce(cc=tag,false)::INT::DOUBLE),6) AS combined FROM c LEFT JOIN bs USING (row_id) WHERE top IN {IND} AND tag<>'' GROUP BY top",
     "tfidf_word": f"WITH {TFIDF} SELECT source, term, round(sum(w),5) AS w FROM w JOIN c USING (row_id) GROUP BY 1,2",
-    "tfidf_bigram_space": f"WITH {C}, ws AS (SELECT row_id, {WORDS} AS t FROM c), tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(list_concat(t, list_transform(range(1,len(t)), lambda i: t[i]||' '||t[i+1]))) AS term FROM ws) GROUP BY 1,2), tm AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*)>=3) SELECT term, df, round(ln(1.0::DOUBLE+(SELECT count(*) FROM c))-ln(1.0::DOUBLE+df)+1.0::DOUBLE,6) AS idf FROM tm ORDER BY cf DESC, term LIMIT 1000",
-    "tfidf_char": f"WITH {C}, p AS (SELECT row_id, unnest(list_transform(list_filter(string_split(tag,' '), lambda w: w<>''), lambda w: ' '||w||' ')) AS w FROM c), g AS (SELECT row_id, unnest(flatten(list_transform(range(3,least(5,length(w))+1), lambda n: list_transform(range(1,length(w)-n+2), lambda i: substring(w,i,n))))) AS term FROM p), tf AS (SELECT row_id, term, count(*) AS tf FROM g GROUP BY 1,2), tm AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*)>=3), x AS (SELECT row_id, term, (1.0::DOUBLE+ln(tf))*(ln(1.0::DOUBLE+(SELECT count(*) FROM c))-ln(1.0::DOUBLE+df)+1.0::DOUBLE) AS x FROM tf JOIN tm USING (term)), w AS (SELECT row_id, term, x/sqrt(sum(x*x) OVER (PARTITION BY row_id)) AS w FROM x) SELECT row_id, count(*) AS n_terms, round(sum(w),5) AS w FROM w GROUP BY 1",
+    "tfidf_bigram_space": f"WITH {TFIDF} SELECT term, df, round(idf,6) AS idf FROM ti ORDER BY cf DESC, term LIMIT 300000",
+    "tfidf_char": f"WITH {GRAMS}, tm AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*)>=3 ORDER BY cf DESC, term LIMIT 300000), x AS (SELECT row_id, term, (1.0::DOUBLE+ln(tf))*(ln(1.0::DOUBLE+(SELECT count(*) FROM c))-ln(1.0::DOUBLE+df)+1.0::DOUBLE) AS x FROM tf JOIN tm USING (term)), w AS (SELECT row_id, term, x/sqrt(sum(x*x) OVER (PARTITION BY row_id)) AS w FROM x) SELECT row_id, count(*) AS n_terms, round(sum(w),5) AS w FROM w GROUP BY 1",
     "feature_space_size": f"WITH {TFIDF} SELECT count(*) AS n_terms, min(df) AS min_df, max(df) AS max_df FROM ti",
-    "rocchio_centroids": f"WITH {ROC} SELECT label, term, round(c,6) AS c FROM ce",
-    "rocchio_scores": f"WITH {ROC} SELECT row_id, label, round(sum(w*ce.c),5) AS score FROM w JOIN ce USING (term) GROUP BY 1,2",
+    "rocchio_centroids": f"WITH {ROC} SELECT {SPLIT_LABEL}, term, round(c,6) AS c FROM ce",
+    "rocchio_scores": f"WITH {ROC} SELECT row_id, {SPLIT_LABEL}, round(sum(w*ce.c),5) AS score FROM w JOIN ce USING (term) GROUP BY row_id, label",
     "prototype_scores": "WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1,(SELECT max(len(embedding)) FROM embeddings)+1) g(i) GROUP BY 1,2), p AS (SELECT label, list(m ORDER BY i) AS v, sqrt(sum(m*m)) AS n FROM m GROUP BY 1) SELECT vec_id, p.label, round(list_dot_product(embedding::DOUBLE[],v)/n,4) AS score FROM embeddings e, p",
     "l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS square FROM embeddings",
-    "zscore_mix": f"WITH {LEX} SELECT row_id, top, tag_idx, round((heading-avg(heading) OVER w)/greatest(stddev_pop(heading) OVER w,1e-6)+0.5::DOUBLE*(verbatim-avg(verbatim) OVER w)/greatest(stddev_pop(verbatim) OVER w,1e-6),5) AS mixed FROM lx WINDOW w AS (PARTITION BY row_id,top)",
+    "zscore_mix": f"WITH {DENSE} SELECT row_id, top, tag_idx, round((heading-avg(heading) OVER w)/greatest(stddev_pop(heading) OVER w,1e-6)+0.5::DOUBLE*(verbatim-avg(verbatim) OVER w)/greatest(stddev_pop(verbatim) OVER w,1e-6),5) AS mixed FROM dx WINDOW w AS (PARTITION BY row_id,top)",
     "log_softmax": f"WITH {TIER} SELECT row_id, top, tag_idx, round(lp,5) AS lp FROM t2",
-    "temperature_grid": f"WITH {TIER}, g AS (SELECT c.row_id, v.tag_idx FROM c JOIN v ON c.top=v.top AND c.tag=v.tag WHERE c.top='finance' AND c.split='dev'), f AS (SELECT sc.row_id, sc.tag_idx, score, t FROM sc, (SELECT unnest([0.1,0.25,0.5,1.0,2.0,4.0])::DOUBLE AS t) WHERE top='finance'), z AS (SELECT row_id, t, max(score) AS mx, max(score/t)+ln(sum(exp((score-mx2)/t))) AS lse FROM (SELECT *, max(score) OVER (PARTITION BY row_id) AS mx2 FROM f) GROUP BY 1,2) SELECT f.t, round(avg(-(score/f.t-lse)),5) AS nll FROM f JOIN g USING (row_id,tag_idx) JOIN z ON z.row_id=f.row_id AND z.t=f.t GROUP BY 1",
+    "temperature_grid": f"WITH {TIER}, g AS (SELECT c.row_id, c.top, v.tag_idx FROM c JOIN v ON c.top=v.top AND c.tag=v.tag WHERE c.split='dev'), o AS (SELECT sc.row_id, sc.top, list(score) AS ss, max(score) AS mx, max(score) FILTER (WHERE sc.tag_idx=g.tag_idx) AS gs FROM sc JOIN g USING (row_id,top) GROUP BY 1,2), f AS (SELECT *, unnest([{TEMPERATURES}]) AS t FROM o) SELECT top, t, round(avg(-((gs-mx)/t-ln(list_sum(list_transform(ss, lambda x: exp((x-mx)/t)))))),5) AS nll FROM f GROUP BY 1,2",
     "joint_decode": f"WITH {TIER}{JOINT}, s AS (SELECT *, {joint('0.5::DOUBLE')} AS score FROM al), w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, {TOPIDX})=1) SELECT row_id, top, tag, round(score,5) AS score, round(exp(lp),5) AS top_confidence, round(CASE WHEN top='other' THEN 1.0::DOUBLE ELSE exp(tlp) END,5) AS tag_confidence FROM w",
     "lambda_sweep": f"WITH {TIER}{JOINT}, s AS (SELECT *, {joint('lam')} AS score FROM al, (SELECT unnest([0.0,0.1,0.2,0.3,0.5,0.75,1.0,1.5])::DOUBLE AS lam)), w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lam,row_id ORDER BY score DESC, {TOPIDX})=1), j AS (SELECT lam, w.top=c.top AS ok, c.top AS g, w.top=c.top AND (c.top='other' OR w.tag IS NOT DISTINCT FROM c.tag) AS ex FROM w JOIN c USING (row_id) WHERE c.split='dev') SELECT lam, round(avg(ok::INT::DOUBLE),5) AS tier1, round(avg(ex::INT::DOUBLE),5) AS end_to_end, round(avg(ex::INT::DOUBLE) FILTER (WHERE g<>'other'),5) AS industry_exact FROM j GROUP BY 1",
     "top_k_pairs": f"WITH {TIER}, a AS (SELECT t1.row_id, t1.top, tag_idx, tag, t1.lp+0.5::DOUBLE*t2.lp AS score FROM t1 JOIN t2 USING (row_id,top) WHERE t1.top<>'other' UNION ALL SELECT row_id, top, -1, NULL, lp FROM t1 WHERE top='other') SELECT row_id, CAST(rank AS INT) AS rank, top, tag, round(score,5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, {TOPIDX}, tag_idx) AS rank FROM a) WHERE rank<=3",
@@ -180,4 +205,8 @@ SQL: dict[str, str] = {
     "aliased_accuracy": f"WITH {GP}, {ALIAS} SELECT gp.top, count(*) AS n_rows, {avg6('gold=pred')} AS raw, {avg6('coalesce(a.canonical,gold)=coalesce(b.canonical,pred)')} AS merged FROM gp LEFT JOIN al a ON a.top=gp.top AND a.tag=gold LEFT JOIN al b ON b.top=gp.top AND b.tag=pred GROUP BY 1",
     "canonical_vocabulary": f"WITH {ALIAS}, t AS (SELECT DISTINCT l.top, coalesce(al.canonical,l.tag) AS tag FROM tag_list l LEFT JOIN al ON al.top=l.top AND al.tag=l.tag) SELECT top, CAST(row_number() OVER (PARTITION BY top ORDER BY tag)-1 AS INT) AS tag_idx, tag FROM t",
     "raw_accuracy": f"WITH {GP} SELECT top, count(*) AS n_rows, {avg6('gold=pred')} AS accuracy FROM gp GROUP BY 1",
+    "merge_clusters": f"{MERGE} SELECT * FROM mg",
+    "merge_aliases": f"{MERGE} SELECT threshold, top, tag, canonical FROM mg WHERE tag<>canonical",
+    "threshold_sweep": f"{MERGE}, {P}, {V}, {GPONLY}, z AS (SELECT threshold, count(*) AS tags_before, count(DISTINCT top||chr(9)||canonical) AS tags_after FROM mg GROUP BY 1), y AS (SELECT t AS threshold, round(avg((coalesce(a.canonical,gold)=coalesce(b.canonical,pred))::INT::DOUBLE),6) AS accuracy FROM gp, th LEFT JOIN mg a ON a.threshold=t AND a.top=gp.top AND a.tag=gold LEFT JOIN mg b ON b.threshold=t AND b.top=gp.top AND b.tag=pred GROUP BY 1) SELECT threshold, tags_before, tags_after, accuracy FROM z JOIN y USING (threshold)",
+    "prediction_affinity": f"WITH {GP}, k AS (SELECT top, gold, pred, count(*) AS n FROM gp GROUP BY 1,2,3), s AS (SELECT top, gold AS tag, count(*) AS s FROM gp GROUP BY 1,2), u AS (SELECT top, least(gold,pred) AS tag_a, greatest(gold,pred) AS tag_b, sum(n) AS n FROM k WHERE gold<>pred GROUP BY 1,2,3) SELECT u.top, tag_a, tag_b, round(n/greatest(coalesce(a.s,0)+coalesce(b.s,0),1),6) AS affinity FROM u LEFT JOIN s a ON a.top=u.top AND a.tag=tag_a LEFT JOIN s b ON b.top=u.top AND b.tag=tag_b",
 }

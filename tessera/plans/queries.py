@@ -565,11 +565,17 @@ def confusion_affinity(spark, d):
     return M.affinity_of_counts(_pair_edges(spark, d)).select("top", "tag_a", "tag_b", F.round("affinity", 6).alias("affinity"))
 
 
+@query
+def prediction_affinity(spark, d):
+    """The confusion graph of the delivered predictions."""
+    return M.affinity(_gold_pred(spark, d)).select("top", "tag_a", "tag_b", F.round("affinity", 6).alias("affinity"))
+
+
 def _merged(spark, d):
     counts = _pair_edges(spark, d)
     sup = counts.groupBy("top", F.col("gold").alias("tag")).agg(F.sum("n").alias("support"))
     nodes = tables(spark, d, "tag_list")[0].select("top", "tag", "tag_idx").join(sup, ["top", "tag"], "left")
-    return M.merge(M.affinity_of_counts(counts), nodes, [0.02, 0.04, 0.06, 0.08, 0.1, 0.15])
+    return M.merge(M.affinity_of_counts(counts), nodes, list(S.MERGE_THRESHOLDS))
 
 
 @query

@@ -13,6 +13,11 @@ from ..functions import text as X
 
 COLUMNS = ("uid", "domain", "document_type", "document_description", "document_format", "locale", "text")
 
+# The thresholds of label merging, and the grids of C of both tiers.
+MERGE_THRESHOLDS = (0.5, 0.35, 0.25, 0.18, 0.12, 0.08)
+C_TIER1 = (0.5, 1.0, 2.0, 4.0, 8.0)
+C_TIER2 = (1.0, 2.0, 4.0, 8.0)
+
 
 @dataclass
 class Settings:
@@ -30,9 +35,10 @@ class Settings:
     max_features: int = 300_000
     embedding_scale: float = 0.6
     hard_negative_weight: float = 1.5
-    c_grid: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0, 8.0)
+    c_grid: tuple[float, ...] = C_TIER1
+    tier2_c_grid: tuple[float, ...] = C_TIER2
     lambdas: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5)
-    merge_thresholds: tuple[float, ...] = (0.02, 0.04, 0.06, 0.08, 0.1, 0.15)
+    merge_thresholds: tuple[float, ...] = MERGE_THRESHOLDS
     merge_ratio: float = 0.5
     max_cluster: int = 8
     artifacts: str = field(default_factory=lambda: os.environ.get("TESSERA_ARTIFACTS", "artifacts"))

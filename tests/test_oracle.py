@@ -5,10 +5,8 @@ import pytest
 from tessera.plans.oracle import SQL
 from tessera.plans.queries import Q
 
-SLOW = {"heading_channel", "zscore_mix", "tfidf_bigram_space", "uid_assignment", "accuracy_at_target", "log_softmax"}  # covered by their neighbours
 
-
-@pytest.mark.parametrize("name", [n for n in Q if n in SQL and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in Q if n in SQL])
 def test_same_rows(same, name):
     same(Q[name], SQL[name])
 

@@ -25,7 +25,7 @@ def corpus(spark):
         w = words.split()
         for u in range(14):
             for loc in ("us", "intl"):
-                text = f"**{tag.title()}**\n\n{' '.join(w[: 2 + u % 3])} was filed on day {u}. {' '.join(w)}" + (" locale intl" if loc == "intl" else "")
+                text = f"**{tag.title()}**\n\n{' '.join(w[: 2 + u % 3])} was filed on day {u}. {' '.join(w)}" + (" (overseas copy)" if loc == "intl" else "")
                 rows.append((len(rows), f"u{k * 100 + u:09d}", domain, top, tag, f"A {tag} of {domain}", "structured" if u % 2 else "unstructured", loc, text, "s"))
     df = spark.createDataFrame(rows, "row_id bigint, uid string, domain string, top string, tag string, description string, document_format string, locale string, text string, source string")
     dom = spark.createDataFrame([("Clinic", "healthcare", None), ("Bank", "finance", None), ("Council", "government", None), ("Bakery", "other", None), ("Garage", "other", "finance")], "domain string, top string, hard_negative_of string")

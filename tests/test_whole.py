@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ensemble
-from tessera.plans.oracle import C, LEX, SQL, V, WORDS
+from tessera.plans.oracle import C, LEX, SQL, V
 from tessera.plans.queries import Q
 
 # every document against every tag, zeros included
@@ -16,18 +16,6 @@ DENSE = f"""dx AS (SELECT c.row_id, v.top, v.tag_idx, v.tag, coalesce(lx.heading
  FROM c CROSS JOIN v LEFT JOIN lx ON lx.row_id=c.row_id AND lx.top=v.top AND lx.tag_idx=v.tag_idx)"""
 
 
-def dense(name):
-    """The query's SQL over the full grid."""
-    sql = SQL[name].replace("FROM lx", "FROM dx")
-    assert LEX in sql and sql.count("FROM dx") == 1
-    return sql.replace(LEX, f"{LEX}, {DENSE}")
-
-
-@pytest.mark.parametrize("name", ["zscore_mix", "log_softmax", "joint_decode", "lambda_sweep", "top_k_pairs"])
-def test_scores_cover_every_tag(same, name):
-    same(Q[name], dense(name))
-
-
 def test_temperatures_of_every_industry(spark, data, duck):
     got = {(r.top, r.t): r.nll for r in Q["temperature_grid"](spark, data).collect()}
     sql = f"WITH {LEX}, {DENSE} SELECT c.top, dx.row_id, list(heading+0.5::DOUBLE*verbatim ORDER BY dx.tag_idx) AS s, any_value(g.tag_idx) AS g FROM dx JOIN c USING (row_id) JOIN v g ON g.top=c.top AND g.tag=c.tag WHERE c.split='dev' AND dx.top=c.top GROUP BY 1,2"
@@ -72,26 +60,8 @@ def test_char_ngrams_of_texts(spark, data):
     assert {r.row_id: (r.n_terms, r.w) for r in Q["tfidf_char"](spark, data).collect()} == want
 
 
-PAIRED = f"(SELECT row_id, {WORDS} AS t FROM c)"
-BOTH = "unnest(list_concat(t, list_transform(range(1,len(t)), lambda i: t[i]||' '||t[i+1])))"
-
-
-def paired(name):
-    """The query's SQL over words and word pairs, and centroids of every tag."""
-    one = f"unnest({WORDS}) AS term FROM c)"
-    sql = SQL[name]
-    assert sql.count(one) == 1
-    sql = sql.replace(one, f"{BOTH} AS term FROM {PAIRED})").replace("SELECT row_id, top AS label FROM c WHERE split='train' AND top IS NOT NULL", "SELECT row_id, c.top||chr(9)||c.tag AS label FROM c JOIN v ON v.top=c.top AND v.tag=c.tag WHERE split='train'").replace(C, f"{C}, {V}")
-    return f"SELECT * EXCLUDE (label), split_part(label,chr(9),1) AS top, split_part(label,chr(9),2) AS tag FROM ({sql})" if "rocchio" in name else sql
-
-
-@pytest.mark.parametrize("name", ["tfidf_word", "feature_space_size", "rocchio_centroids", "rocchio_scores"])
-def test_word_pairs_and_tag_labels(same, name):
-    same(Q[name], paired(name))
-
-
 def test_whole_bigram_space(same, spark, data):
-    same(Q["tfidf_bigram_space"], SQL["tfidf_bigram_space"].replace("LIMIT 1000", "LIMIT 300000"))
+    same(Q["tfidf_bigram_space"], SQL["tfidf_bigram_space"])
     assert Q["tfidf_bigram_space"](spark, data).count() > 1000
 
 
