@@ -114,7 +114,7 @@ def test_overlap_equals_brute_force(spark):
     texts += texts[:2]
     rows = [(i, t, ("train", "dev", "test", "train", None)[(i + i // 40) % 5]) for i, t in enumerate(texts)] + [(9001, None, "dev"), (9002, texts[0], "dev"), (9003, texts[0], "train")]
     df = spark.createDataFrame(rows, "row_id bigint, text string, split_name string")
-    r, p = overlap.overlaps(df, per_shard=17)
+    r, p = overlap.overlaps(df, shard_words=600, part_words=900)
     got = {(x.row_id_a, x.row_id_b) for x in overlap.row_pairs(r, p).collect()}
     sh = [(i, _shingles(t), s) for i, t, s in rows if t and s]
     want = set()
@@ -125,13 +125,32 @@ def test_overlap_equals_brute_force(spark):
     assert got == want and len(want) > 20
     rep = overlap.overlap_report(r, p, ["split_name"]).collect()
     assert sum(x.n_pairs for x in rep) == len(want)
+    for least in (0.3, 0.8):  # no similarity is refused
+        r, p = overlap.overlaps(df, least=least, shard_words=600)
+        got = {(x.row_id_a, x.row_id_b): (x.similarity, x.coverage) for x in overlap.row_pairs(r, p).collect()}
+        want = {}
+        for i, a, s in sh:
+            for j, b, z in sh:
+                if a and b and s == "train" and z != "train" and len(a & b) >= least * len(a | b):
+                    want[min(i, j), max(i, j)] = len(a & b) / len(a | b)
+        assert {k: v[0] for k, v in got.items()} == pytest.approx(want) and len(want) > 10 and all(0 < v[1] <= 1 for v in got.values())
     assert overlap.overlaps(df.filter("false"))[1].count() == 0
     assert overlap.overlaps(df.filter("split_name = 'train'"))[1].count() == 0
 
 
 def test_coverage_merges_intervals():
     e, t = np.arange(10, dtype=np.int32), np.array([0, 1, 2, 3, 99, 6, 7, 8, 9], dtype=np.int32)
-    assert overlap.compare(e, t)[1] == pytest.approx(0.8)
+    ends = lambda x: np.array([0, len(x)])
+    there = np.sort(overlap._codes(t, overlap._runs(t, ends(t))[0]))
+    _, _, sim, covered = overlap.Shard(e, ends(e), there, 0.2).similar(t, ends(t))
+    assert covered.tolist() == [8] and sim.tolist() == [pytest.approx(4 / 11)]
+
+
+def test_spelling_of_records_in_shards_does_not_matter(spark):
+    rows = [(i, " ".join(f"w{(i // 2 * 31 + k) % 997}" for k in range(40)), "train" if i % 2 else "dev") for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id bigint, text string, split_name string")
+    sets = [frozenset(map(tuple, overlap.overlaps(df, shard_words=n, part_words=k)[1].select("e_cls", "t_cls", "similarity", "coverage").collect())) for n, k in ((10**6, 10**6), (900, 500))]
+    assert sets[0] == sets[1] and len(sets[0]) >= 200
 
 
 # 4 term counts ----------------------------------------------------------------------------------------------------------
