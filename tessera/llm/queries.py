@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.runtime import tables
-from . import bpe, canonical, groupsplit, mixing, overlap, pii, sentences, termcounts
+from ..plans.runtime import materialize, tables
+from . import bpe, canonical, groupsplit, mixing, overlap, pii, sentences, surrogates, termcounts
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,9 +83,13 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return termcounts.marked(frames, _fields()).select("field_name", "term", "n_occurrences", "n_rows", "mark")
 
 
+SECRET = "tessera"
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention that the surrogate generation replaces."""
     frames, parts = tables(spark, d, "frames", "name_parts")
-    return pii.mentions(frames, pii.collect_model(parts))
+    return surrogates.replacements(frames, pii.collect_model(parts), SECRET).select("row_id", "start_pos", "end_pos", "kind")
 
 
 def p5_placeholders(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +99,19 @@ def p5_placeholders(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_surrogates(spark: SparkSession, d: str) -> DataFrame:
     frames, parts = tables(spark, d, "frames", "name_parts")
-    return pii.pseudonymize(frames, pii.collect_model(parts), secret="tessera")
+    return surrogates.pseudonymize(frames, pii.collect_model(parts), SECRET)
+
+
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: that no mention keeps its value, and that values other than names and their replacements are one to one."""
+    frames, parts = tables(spark, d, "frames", "name_parts")
+    r = surrogates.replacements(frames, pii.collect_model(parts), SECRET)
+    plain = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    r = materialize(r.select("kind", plain("value").alias("v"), plain("replacement").alias("s")), "pairs").distinct()
+    per = r.groupBy("kind", "v").agg(F.count_distinct("s").alias("n")).groupBy("kind").agg((F.max("n") == 1).alias("coreferent"))
+    back = r.groupBy("kind", "s").agg(F.count_distinct("v").alias("n")).groupBy("kind").agg((F.max("n") == 1).alias("distinct"))
+    same = r.groupBy("kind").agg((F.count_if(F.col("v") == F.col("s")) == 0).alias("replaced"))
+    return same.join(per, "kind").join(back, "kind").select("kind", "replaced", "coreferent", "distinct")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, canonical, groupsplit, mixing, overlap, pii, queries, sentences, termcounts, thresholds
+from tessera.llm import bpe, canonical, groupsplit, mixing, overlap, pii, queries, sentences, surrogates, termcounts, thresholds
 from tessera.llm.oracle import SQL
 from tessera.plans.runtime import ship
 
@@ -196,20 +196,70 @@ def test_unlisted_parts_are_known_by_build():
     assert {p.lower() for p, _ in PARTS} <= set(pii.name_model(few))
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Write to " + "a" * 300 + ".b@mail.example now", [("email", "a" * 300 + ".b@mail.example")]),
+        ("Mirika Li came", [("name", "Mirika Li")]), ("a mild day, li said", []),
+        ("SSN:" + " " * 70 + "912-44-1234", [("id_number", "912-44-1234")]),
+        ("Mirika" + " " * 40 + "Fennwold", [("name", "Mirika" + " " * 40 + "Fennwold")]),
+        ("Mirika J. R. R. T. Fennwold", [("name", "Mirika J. R. R. T. Fennwold")]),
+        ("TK 912-44-1234", []),
+    ],
+)
+def test_mentions_of_any_length(text, want):
+    model = pii.name_model([*PARTS, ("Li", "family")])
+    assert [(k, text[a:b]) for a, b, k in pii.Detector(model).find(text)] == want
+
+
+def test_model_of_short_and_no_parts():
+    assert pii.name_model([("Li", "family"), ("", "given"), (None, "given")]) == {"li": "f"}
+    assert pii.Detector({}).find("Mirika Fennwold, a@b.example") == [(17, 28, "email")]
+
+
 def test_surrogates(spark, model):
-    rows = [(1, "Call Mirika Fennwold, 912-44-1234 SSN: 912-44-1234 or m@mail.example"), (2, "M. Fennwold and Dovund Aldrardo, SSN: 912-44-1235"), (3, None), (4, "nothing here"), (5, "MIRIKA FENNWOLD")]
+    rows = [(1, "Call Mirika Fennwold, 912-44-1234 SSN: 912-44-1234 or m@mail.example"), (2, "M. Fennwold and Dovund Aldrardo, SSN: 912-44-1235"), (3, None), (4, "nothing here"), (5, "MIRIKA FENNWOLD"), (5, "Dear Mirika Fennwold"), (6, "")]
     df = spark.createDataFrame(rows, "row_id bigint, text string")
-    out = {r.row_id: r.text for r in pii.pseudonymize(df, model, "key").collect()}
-    assert out[3] is None and out[4] == "nothing here"
-    assert "Mirika" not in out[1] and "912-44-1234" not in out[1] and "@example.invalid" in out[1]
-    given, family = out[1].split()[1:3]
-    assert out[2].startswith(f"{given[0]}. {family.rstrip(',')}") and out[5] == f"{given} {family.rstrip(',')}".upper()
-    assert out[1].count("912") == 0 or len(out[1]) == len(rows[0][1])
-    ents = spark.createDataFrame([("id_number", f"{i:03d}") for i in range(100, 140)], "kind string, canon string")
-    t = pii.surrogate_table(ents, "k").collect()
-    assert len(t) == 40 and len({r.surrogate for r in t} | {r.canon for r in t}) == 80
+    out = {(r.row_id, i): r.text for i, r in enumerate(sorted(surrogates.pseudonymize(df, model, "key").collect(), key=lambda r: (r.row_id, r.text or "")))}
+    one, two, three, four, five, six, empty = [out[k] for k in sorted(out)]
+    assert three is None and four == "nothing here" and empty == ""
+    assert "Mirika" not in one and "912-44-1234" not in one and "@example.invalid" in one
+    given, family = one.split()[1:3]
+    assert two.startswith(f"{given[0]}. {family.rstrip(',')}") and six == f"{given} {family.rstrip(',')}".upper() and five == f"Dear {given} {family.rstrip(',')}"
     red = {r.row_id: r.text for r in pii.redact(df, model).collect()}
     assert red[2] == "[NAME] and [NAME], SSN: [ID_NUMBER]"
+    assert surrogates.pseudonymize(df.filter("false"), model, "key").count() == 0
+
+
+def test_surrogates_are_distinct_and_never_the_original(spark):
+    k = b"key"
+    rows = [(kind, c) for kind, values in {"id_number": [f"{i:02d}" for i in range(100)], "email": [f"{a}@{b}.example" for a in "abcdefgh" for b in "xyz"], "phone": ["0", "1", "2"], "family": ["li", "lu", "wu", "иван", "ли"]}.items() for c in values]
+    ents = spark.createDataFrame([(a, c, surrogates.surrogate(a, c, k), "", "") for a, c in rows], "kind string, canon string, made string, given string, sex string")
+    other = {(r.kind, r.canon): r.made for r in surrogates.exceptions(ents, k).collect()}
+    final = {(r.kind, r.canon): other.get((r.kind, r.canon), r.made) for r in ents.collect()}
+    assert len({(a, v) for (a, _), v in final.items()}) == len(rows) and not {(a, v) for (a, _), v in final.items()} & set(rows)
+    assert max(len(v) for (a, _), v in final.items() if a == "id_number") == 3  # all two-digit values are taken
+
+
+def test_surrogates_keep_script_format_and_country():
+    import regex
+
+    k = b"key"
+    for canon, script in (("иван", "Cyrillic"), ("νίκος", "Greek"), ("محمد", "Arabic"), ("राम", "Devanagari"), ("佐藤", "Han"), ("김민", "Hangul"), ("ана", "Cyrillic")):
+        made = surrogates.surrogate("given", canon, k)
+        assert made != canon and regex.fullmatch(rf"[\p{{{script}}}\p{{M}}]+", made)
+    assert "é" not in surrogates.surrogate("email", "josé@x.org", k)
+    assert surrogates.rewrite("phone", "+44 20 7946 0018", [surrogates.surrogate("phone", "+442079460018", k)], k).startswith("+44 ")
+    assert surrogates.rewrite("phone", "0049 30 1234567", [surrogates.surrogate("phone", "0049301234567", k)], k).startswith("0049 ")
+    a, b = surrogates.rewrite("id_number", "X 12345", ["y98765"], k), surrogates.rewrite("id_number", "12345", ["987651"], k)
+    assert a == "Y 98765" and b == "987651"
+    assert surrogates.surrogate("given", "mirika", k, 0, "m").endswith(surrogates.ENDINGS["LATIN", "m"]) and surrogates.surrogate("given", "mirika", k).endswith(surrogates.ENDINGS["LATIN", "f"])
+
+
+def test_titles_decide_gender(spark, model):
+    df = spark.createDataFrame([(1, "Mr Mirika Fennwold"), (2, "Mr. Mirika Aldrardo"), (3, "Mirika Fennwold")], "row_id bigint, text string")
+    out = {r.row_id: r.replacement.split()[0] for r in surrogates.replacements(df, model, "key").collect()}
+    assert len(set(out.values())) == 1 and out[1].endswith(surrogates.ENDINGS["LATIN", "m"])
 
 
 # 6 token ids ------------------------------------------------------------------------------------------------------------
