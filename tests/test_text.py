@@ -63,6 +63,7 @@ def test_position(spark):
 
 
 def test_uid(spark):
-    for raw in ("u000000042", "U-000000042", "UID 42", "urn:rec:000000042", "u000.000.042"):
+    for raw in ("u000000042", "U-000000042", "UID 42", "urn:rec:000000042", "u000.000.042", "u0000000000042"):
         assert one(spark, raw, X.uid_key("t")) == "u000000042"
+    assert one(spark, "u1234567890123", X.uid_key("t")) == "u1234567890123" != one(spark, "u1234567890124", X.uid_key("t"))
     assert one(spark, "none", X.uid_key("t")) is None
