@@ -142,7 +142,9 @@ def test_coverage_merges_intervals():
     e, t = np.arange(10, dtype=np.int32), np.array([0, 1, 2, 3, 99, 6, 7, 8, 9], dtype=np.int32)
     ends = lambda x: np.array([0, len(x)])
     there = np.sort(overlap._codes(t, overlap._runs(t, ends(t))[0]))
-    _, _, sim, covered = overlap.Shard(e, ends(e), there, 0.2).similar(t, ends(t))
+    s = overlap.Shard(e, ends(e), 0.2)
+    s.build(there)
+    _, _, sim, covered = s.similar(t, ends(t))
     assert covered.tolist() == [8] and sim.tolist() == [pytest.approx(4 / 11)]
 
 
