@@ -46,7 +46,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None, codec
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage and survives the loss of any executor. The table is left in the shared folder,
-    whose owner cleans it; its path is ``materialize.path_of``.
+    whose owner cleans it.
     """
     path = scratch(df.sparkSession, name)
     w = df.write.option("compression", codec)
@@ -63,10 +63,22 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Data files (URI, bytes) of a table folder without partitions."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return [(str(f.getPath().toString()), int(f.getLen())) for f in found if not f.getPath().getName().startswith(("_", ".")) and f.getLen() > 0]
+
+
 def local_view(path: str) -> tuple[object, str]:
     """pyarrow file system and path of a URI, for workers that read a bounded table of the shared folder."""
     from pyarrow import fs
 
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
 
 
