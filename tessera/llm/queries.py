@@ -8,22 +8,20 @@ from ..plans.runtime import materialize, tables
 from . import bpe, canonical, groupsplit, mixing, overlap, pii, sentences, surrogates, termcounts
 
 
+def _lists(spark: SparkSession, d: str) -> dict:
+    domains, tags = tables(spark, d, "domain_list", "tag_list")
+    return {"domain": (domains, "domain_ref", "domain"), "tag": (tags, "tag_ref", "tag")}
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    frames, domains, tags = tables(spark, d, "frames", "domain_list", "tag_list")
-    return canonical.map_fields(frames, "row_id", {"domain": (domains, "domain_ref", "domain"), "tag": (tags, "tag_ref", "tag")})
+    (frames,) = tables(spark, d, "frames")
+    return canonical.map_fields(frames, "row_id", _lists(spark, d))
 
 
 def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Typed values that mean no entry, with their rows."""
-    frames, domains, tags = tables(spark, d, "frames", "domain_list", "tag_list")
-    out = None
-    for name, ref in (("domain", domains), ("tag", tags)):
-        rows = frames.select(F.col(name).alias("value")).filter(F.col("value").isNotNull() & ~F.col("value").rlike(canonical.BLANK)).groupBy("value").agg(F.count("*").alias("n_rows"))
-        new = rows.join(ref.select(F.col(name).alias("value")), "value", "left_anti")
-        best = canonical.map_values(new.select("value"), ref.select(F.col(f"{name}_ref").alias("ref_id"), F.col(name).alias("entry")))
-        one = best.filter(F.col("ref_id") == canonical.NONE).join(new, "value").select(F.lit(name).alias("field_name"), "value", "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    (frames,) = tables(spark, d, "frames")
+    return canonical.unmatched(frames, _lists(spark, d))
 
 
 def _uid() -> dict:

@@ -35,6 +35,26 @@ def test_mapping(spark):
     assert got == {t: canonical.NONE if w is None else f"R{w}" for t, w in cases.items()}
 
 
+def test_mapping_of_marks_scripts_and_many_words(spark):
+    entries = ["form 1040", "form 990", "form", "new hire letter", "hire letter", "vitamin c test", "vitamin d test", "договор займа", "счёт", "借款合同", "ऋण पत्र", "alpha beta gamma delta epsilon", "alpha beta gamma delta"]
+    cases = {
+        "Form 1040": 0, "form 990 (copy)": 1, "form 77": 2, "form": 2, "NEW hire letter": 3, "hire letter - new": 3, "hire letter v2": 4, "vitamin d tset": 6, "vitamin test c": 5,
+        "Договор заима": 7, "договор": 7, "сорт": None, "счет": 8, "借款合同": 9, "借款合": 9, "ऋण पत्र ": 10, "epsilondeltagammabetaalpha": 11, "deltagammabetaalpha": 12, "betaalphaepsilondeltagamm": 11, "(form 990": 1, "(7)": None,
+    }
+    e = spark.createDataFrame([(f"R{i}", x) for i, x in enumerate(entries)], "ref_id string, entry string")
+    got = {r.value: r.ref_id for r in canonical.map_values(spark.createDataFrame([(t,) for t in cases], "value string"), e).collect()}
+    want = {t: canonical.NONE if w is None else f"R{w}" for t, w in cases.items()}
+    want["договор"] = canonical.NONE  # one word of two
+    assert got == want
+
+
+def test_words_run_together_in_any_number():
+    w = [f"{c}{d}word" for c in "abc" for d in "xyz"]
+    assert canonical.run_together("".join(reversed(w)), w, True, False) == 1.0
+    assert canonical.run_together("".join(reversed(w)), w, False, False) == 0.0
+    assert canonical.run_together("ab" * 9, ["ab"] * 9, True, False) == 1.0
+
+
 def test_similarity_join_is_exact(spark):
     rng = random.Random(1)
     sets = [sorted(rng.sample("abcdefghijklmnop", rng.randint(1, 8))) for _ in range(60)]
@@ -52,6 +72,8 @@ def test_mapping_edge_rows(spark):
     got = sorted(map(tuple, canonical.map_fields(df, "row_id", {"v": (ref, "rid", "v")}).collect()))
     assert got == [(4, "v", "A"), (5, "v", "A")]
     assert canonical.map_fields(df.filter("false"), "row_id", {"v": (ref, "rid", "v")}).count() == 0
+    assert {r.ref_id for r in canonical.map_fields(df, "row_id", {"v": (ref.filter("false"), "rid", "v")}).collect()} == {canonical.NONE}
+    assert [tuple(r) for r in canonical.unmatched(df, {"v": (ref.filter("false"), "rid", "v")}).orderBy("value").collect()] == [("v", "AB cd", 2), ("v", "ab cd", 1)]
 
 
 # 2 grouped splits -------------------------------------------------------------------------------------------------------
