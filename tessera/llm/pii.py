@@ -97,6 +97,7 @@ _PHONE = re.compile(
     re.IGNORECASE,
 )
 _DIGITS = re.compile(r"\d[\d ./\xa0()-]{5,}")
+_RUN = re.compile(r"\d+")
 
 # --- names ----------------------------------------------------------------------------------------------------------
 _JOIN = re.compile(rf"(?:\s++|-|(?<={SP})[^\W\d_]\.?(?={SP})|(?:von{SP}der|van{SP}der|van{SP}den|von|van|de{SP}la|del|de|der|den|da|di|du|la|le)(?=\s)|al-|el-|o['’]|d['’])++", re.IGNORECASE)
@@ -209,11 +210,8 @@ class Detector:
 
     def numbers(self, t: str, at: int, upto: int, add) -> None:
         """Personal and phone numbers that begin in a stretch of digits and marks."""
-        while at < upto:
-            if not t[at].isdigit():
-                at += 1
-                continue
-            start = at
+        while run := _RUN.search(t, at, upto):
+            start = at = run.start()
             if at and t[at - 1].isalpha() and t[at - 1].isascii():
                 start = at - 2 if at > 1 and t[at - 2].isalpha() else at - 1
                 if start and (t[start - 1].isalnum() or t[start - 1] == "_"):
@@ -240,11 +238,7 @@ class Detector:
                     if s == at and (m := _PHONE.match(t, p)):
                         add(p, end := m.end(), "phone")
                         break
-            if end:
-                at = end
-            else:  # go on behind this run of digits
-                while at < upto and (t[at].isdigit()):
-                    at += 1
+            at = end or run.end()
 
     def find(self, t: str | None) -> list[tuple[int, int, str]]:
         """(start, end, kind) of all mentions, in order."""

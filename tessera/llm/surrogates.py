@@ -53,6 +53,7 @@ _UNIT = re.compile(r"[^\W\d_]{2,}")
 _SINGLE = re.compile(r"(?<!\w)[^\W\d_](?![\w'’])")
 _AT = re.compile(r"@|\[at\]|\(at\)|\{at\}|<at>|at(?=[\w-]+dot)")
 _SPACE = re.compile(r"\s+")
+_PARTS = re.compile(r"\s+|\S+")
 LONGER = 8  # attempts of one length
 
 
@@ -68,6 +69,7 @@ def _neighbours(block: int, script: str, category: str) -> str:
     return "".join(c for c in map(chr, range(block, block + 128)) if unicodedata.category(c) == category and unicodedata.name(c, "").startswith(script))
 
 
+@lru_cache(100_000)
 def _letters(c: str) -> str:
     """The letters that may replace ``c``: of its alphabet and class, or of its place in a script without classes."""
     script, low = _script(c)
@@ -77,11 +79,10 @@ def _letters(c: str) -> str:
     return _neighbours(ord(c) & ~127, script, unicodedata.category(c)) or c
 
 
-def _bytes(secret: bytes, *parts: str) -> Iterator[int]:
-    n = 0
-    while True:
-        yield from hashlib.blake2b(f"{n}\x1f{chr(31).join(parts)}".encode(), key=secret).digest()
-        n += 1
+def _bytes(secret: bytes, n: int, *parts: str) -> Iterator[int]:
+    """``n`` keyed bytes at least."""
+    own = "\x1f".join(parts)
+    return iter(b"".join(hashlib.blake2b(f"{k}\x1f{own}".encode(), key=secret).digest() for k in range(n // 64 + 1)))
 
 
 @lru_cache(100_000)
@@ -90,7 +91,7 @@ def initial(secret: bytes, c: str) -> str:
     script, low = _script(c)
     every = ALPHABETS[script][2] if script in ALPHABETS else _neighbours(ord(low) & ~127, script, unicodedata.category(low))
     order = sorted(every, key=lambda x: hashlib.blake2b(x.encode(), key=secret).digest())
-    return order[every.index(low)] if low in every else order[next(_bytes(secret, "initial", c)) % len(order)] if order else "x"
+    return order[every.index(low)] if low in every else order[next(_bytes(secret, 1, "initial", c)) % len(order)] if order else "x"
 
 
 def gender(given: str) -> str:
@@ -107,8 +108,8 @@ def units(kind: str, value: str, roles: dict[str, str]) -> list[tuple[str, str]]
 
 def surrogate(kind: str, canon: str, secret: bytes, attempt: int = 0, sex: str = "") -> str:
     """Replacement of one entity in canonical form."""
-    s = _bytes(secret, kind, canon, str(attempt))
     more = attempt // LONGER
+    s = _bytes(secret, len(canon) + 2 * more + 8, kind, canon, str(attempt))
     if kind in ("given", "family"):
         script, _ = _script(canon[0])
         out = [initial(secret, canon[0])]
@@ -128,7 +129,7 @@ def surrogate(kind: str, canon: str, secret: bytes, attempt: int = 0, sex: str =
         if i < keep:
             made.append(c)
         elif c.isdigit():
-            made.append(str(next(s) % 10) if i else "0" if c == "0" else str(1 + next(s) % 9))
+            made.append("0123456789"[next(s) % 10] if i else "0" if c == "0" else "123456789"[next(s) % 9])
         elif c.isalpha():
             p = _letters(c)
             made.append(p[next(s) % len(p)])
@@ -154,10 +155,19 @@ def rewrite(kind: str, value: str, made: list[str], secret: bytes) -> str:
         return _SINGLE.sub(lambda m: _styled(m[0], initial(secret, m[0].lower())), done)
     if kind == "email":
         return made[0]
-    it, out = iter(made[0]), []
-    for c in value:
-        out.append(c if c.isspace() else (lambda x: x.upper() if c.isupper() else x)(next(it, "")))
-    return "".join([*out, *it])
+    new, at, out = made[0], 0, []
+    for part in _PARTS.findall(value):
+        if part[0].isspace():
+            out.append(part)
+            continue
+        own = new[at : at + len(part)]
+        at += len(part)
+        if part.isupper():
+            own = own.upper()
+        elif not part.islower():
+            own = "".join(x.upper() if c.isupper() else x for c, x in zip(part, own))
+        out.append(own)
+    return "".join(out) + new[at:]
 
 
 def _title(text: str, start: int) -> str:
@@ -202,12 +212,14 @@ def exceptions(entities: DataFrame, secret: bytes) -> DataFrame:
         return pd.Series([surrogate(k, c, secret, int(a), s) for k, c, s, a in zip(kind, canon, sex, attempt)], dtype=object)
 
     spark = entities.sparkSession
+    # one pass finds the replacements that two entities share or that are an entity; they are few
     fits = entities.filter("given = sex")
-    twice = fits.groupBy("kind", "made").agg(F.min("canon").alias("keeps"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    lost = fits.join(twice, ["kind", "made"]).filter("canon <> keeps").select("kind", "canon", "sex")
+    both = fits.select("kind", "made", "canon").unionByName(entities.select("kind", F.col("canon").alias("made"), F.lit(None).cast("string").alias("canon")))
+    clash = both.groupBy("kind", "made").agg(F.min("canon").alias("keeps"), F.count("canon").alias("n"), F.count_if(F.col("canon").isNull()).alias("o")).filter("n > 1 or n > 0 and o > 0")
+    clash = materialize(clash.select("kind", "made", F.when(F.col("o") == 0, F.col("keeps")).alias("keeps")), "clash")
+    lost = fits.join(clash, ["kind", "made"]).filter("keeps is null or canon <> keeps").select("kind", "canon", "sex")
     originals = entities.select("kind", F.col("canon").alias("made"))
-    own = fits.join(originals, ["kind", "made"], "left_semi").select("kind", "canon", "sex")
-    open_ = materialize(lost.unionByName(own).unionByName(entities.filter("given <> sex").select("kind", "canon", "sex")).distinct(), "open")
+    open_ = materialize(lost.unionByName(entities.filter("given <> sex").select("kind", "canon", "sex")).distinct(), "open")
     done = spark.createDataFrame([], "kind string, canon string, made string")
     attempt = 0
     while not open_.isEmpty():
@@ -233,7 +245,7 @@ def replacements(df: DataFrame, model: dict[str, str], secret: str, key: str = "
     per = long.groupBy("kind", "canon", "made", "given").agg(F.count_if(F.col("hint") == "f").alias("nf"), F.count_if(F.col("hint") == "m").alias("nm"))
     sex = F.when(F.col("nf") > F.col("nm"), "f").when(F.col("nm") > F.col("nf"), "m").otherwise(F.col("given"))
     entities = materialize(per.select("kind", "canon", "made", "given", sex.alias("sex")), "entities")
-    other = exceptions(entities, k)
+    other = materialize(exceptions(entities, k), "exceptions")
     at = found.select(key, "same", "start_pos", F.posexplode("entities").alias("i", "e")).select(key, "same", "start_pos", "i", F.split("e", "\x1f")[0].alias("kind"), F.split("e", "\x1f")[1].alias("canon"))
     fixes = materialize(at.join(other, ["kind", "canon"]).groupBy(key, "same", "start_pos").agg(F.map_from_entries(F.collect_set(F.struct("i", "made"))).alias("fix")), "fixes")
 
