@@ -14,6 +14,8 @@ surrounding white space is left out. The language is found from the text; the ``
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,9 +68,22 @@ def _abbreviated(names: str) -> str:
     return r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(sorted(out, key=len, reverse=True)) + r")\.$"
 
 
+# Closing and opening marks of quotations.
+_PAIRS = (("”", "“"), ("»", "«"), ("」", "「"), ("』", "『"), ("“", "„"), ("’", "‘"))
+# a quotation with its own full stop that a colon or comma leads in, and one that nothing leads in
+_QUOTED = "|".join(rf"{o}[^{o}]*[.!?…。！？।॥؟;][^{o}\p{{L}}\p{{N}}]*{c}" for c, o in _PAIRS)
+LED_IN = rf"[:,：，]\s{{0,3}}(?:{_QUOTED})$"
+NOT_LED_IN = rf"(?<![:,：，]\s{{0,3}})(?:{_QUOTED})$"
+
+
 def _rules() -> dict[str, list[tuple[bool, str, str]]]:
     """Tables of (break?, before, after)."""
     t: dict[str, list[tuple[bool, str, str]]] = {}
+    goes_on = r"[,;:–—、，と-]"
+    t["quotes"] = [(True, LED_IN, rf"\s*(?!{goes_on})[^\s\p{{Ll}}]")]
+    t["quotes-uncased"] = [(True, LED_IN, rf"\s*(?!{goes_on})\S"), (False, NOT_LED_IN, r"\s+\p{Ll}")]
+    t["quotes-unspaced"] = [(True, LED_IN, rf"\s*(?!{goes_on})\S"), (False, NOT_LED_IN, r"\s*\p{L}")]
+    t["quotes-ko"] = [(True, LED_IN, rf"\s+(?!{goes_on})\S"), (False, NOT_LED_IN, r"\p{L}")]
     upper = rf"\s+[{OPEN}]*(?:\p{{Lu}}|\p{{N}})"
     for lang, (never, maybe) in ABBREVIATIONS.items():
         t[lang] = [(False, _abbreviated(never), r"\s*\S")]
@@ -138,17 +153,36 @@ def _rules() -> dict[str, list[tuple[bool, str, str]]]:
 
 
 CASCADE = {
-    "en": ("en", "cased"), "de": ("de", "cased"), "fr": ("fr", "cased"), "es": ("es", "cased"), "ru": ("ru", "cased"), "el": ("el", "cased"),
-    "en-low": ("en", "uncased"), "de-low": ("de", "uncased"), "fr-low": ("fr", "uncased"), "es-low": ("es", "uncased"), "ru-low": ("ru", "uncased"), "el-low": ("el", "uncased"),
-    "zh": ("cjk",), "ja": ("cjk",), "ko": ("ko", "cjk"), "hi": ("hi", "indic"), "ar": ("ar", "arabic"),
+    **{k: ("quotes", k, "cased") for k in ("en", "de", "fr", "es", "ru", "el")},
+    **{f"{k}-low": ("quotes-uncased", k, "uncased") for k in ("en", "de", "fr", "es", "ru", "el")},
+    "zh": ("quotes-unspaced", "cjk"), "ja": ("quotes-unspaced", "cjk"), "ko": ("quotes-ko", "ko", "cjk"), "hi": ("quotes-unspaced", "hi", "indic"), "ar": ("quotes-unspaced", "ar", "arabic"),
 }
 _TABLES: dict[str, list[tuple[bool, object, object]]] = {}
 
 
+_QUOTE_ENDS = frozenset(c for c, _ in _PAIRS)
+
+
+def _last(before: str) -> frozenset[str] | None:
+    """The characters a match of ``before`` can end with, None if any."""
+    return frozenset(".") if before.endswith(r"\.$") else _QUOTE_ENDS if before in (LED_IN, NOT_LED_IN) else None
+
+
+def _rules_for(lang: str, c: str):
+    """The rules of a language that can match before a position behind the character ``c``, in order."""
+    if (lang, c) not in _FOR:
+        _FOR[lang, c] = [(brk, b, a) for brk, b, a, ends in _table(lang) if ends is None or c in ends]
+    return _FOR[lang, c]
+
+
+_FOR: dict[tuple[str, str], list] = {}
+
+
 def _table(lang: str):
     if lang not in _TABLES:
         rules = _rules()
-        _TABLES[lang] = [(brk, regex.compile(b), regex.compile(a)) for name in CASCADE[lang] for brk, b, a in rules[name]]
+        # what stands before is read backwards, from the position on
+        _TABLES[lang] = [(brk, regex.compile(b, regex.REVERSE), regex.compile(a), _last(b)) for name in CASCADE[lang] for brk, b, a in rules[name]]
     return _TABLES[lang]
 
 
@@ -163,26 +197,45 @@ _FAMILY = {"el": "el", "el-low": "el", "zh": "cjk", "ja": "cjk", "ko": "cjk", "h
 _SCRIPTS = [("th", r"\p{Thai}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"), ("ko", r"\p{Hangul}"), ("hi", r"\p{Devanagari}"), ("ar", r"\p{Arabic}"), ("ru", r"\p{Cyrillic}"), ("el", r"\p{Greek}")]
 _SCRIPT_RE = [(k, regex.compile(p)) for k, p in _SCRIPTS]
 _NON_LATIN = regex.compile(r"[Ͱ-\U0010ffff]")
-_WORDS = regex.compile(r"\p{L}+")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+_OF_CHAR: dict[str, str] = {}
+
+
+def _script_of(c: str) -> str:
+    """Script of a letter as far as the rules tell them apart, ``letter`` for others, empty for no letter."""
+    if c not in _OF_CHAR:
+        _OF_CHAR[c] = next((k for k, r in _SCRIPT_RE if r.match(c)), "letter" if c.isalpha() else "")
+    return _OF_CHAR[c]
+
+
+_LANGUAGES_OF: dict[str, tuple[str, ...]] = {w: tuple(k for k, ws in _WORD_SETS.items() if w in ws) for ws in _WORD_SETS.values() for w in ws}
 
 
 def language(text: str) -> str:
     """Rule set of a stretch of prose."""
     if _NON_LATIN.search(text):
-        counts = {k: len(r.findall(text)) for k, r in _SCRIPT_RE}
-        letters = sum(c.isalpha() for c in text)
+        counts: Counter[str] = Counter()
+        for c, n in Counter(text).items():
+            counts[_script_of(c)] += n
+        marks = sum(n for c, n in Counter(text).items() if _script_of(c) and not c.isalpha())
+        letters = sum(n for k, n in counts.items() if k) - marks
         east = counts["ja"] + counts["zh"]
-        k = max(counts, key=counts.get)
+        k = max((k for k, _ in _SCRIPTS), key=lambda k: counts[k])
         if east >= max(counts[k], 1) and east * 3 >= letters - east:
             return "ja" if counts["ja"] * 8 >= east else "zh"
         if counts[k] * 2 >= letters - counts[k] and counts[k]:
             if k not in ("ru", "el"):
                 return k
             return k if regex.search(r"\p{Lu}", text) else f"{k}-low"
-    words = [w for w in _WORDS.findall(text)]
-    low = [w.lower() for w in words]
-    best = max(_WORD_SETS, key=lambda k: (sum(w in _WORD_SETS[k] for w in low), k == "en"))
-    return best if any(w[:1].isupper() for w in words) or not words else f"{best}-low"
+    words = _WORDS.findall(text)
+    seen: Counter[str] = Counter()
+    for w in map(str.lower, words):
+        if w in _LANGUAGES_OF:
+            seen.update(_LANGUAGES_OF[w])
+    best = max(_WORD_SETS, key=lambda k: (seen[k], k == "en"))
+    return best if not words or any(w[0].isupper() for w in words) else f"{best}-low"
 
 
 LINE = regex.compile(r"[^\r\n\x85\u2028\u2029]+|\r\n|[\r\n\x85\u2028\u2029]")
@@ -265,24 +318,6 @@ def _hard_unit(line: str) -> bool:
     return bool(_HARD.match(line))
 
 
-_PAIR = {"”": "“", "»": "«", "」": "「", "』": "『", "“": "„", "）": "（", ")": "(", "’": "‘"}
-_SPEECH = regex.compile(r"[:,：，]\s*$")
-
-
-def _opened_after_mark(s: str, end: int, begin: int) -> bool | None:
-    """Whether the quotation closed right before ``end`` was opened after a colon or comma; None if no quotation."""
-    c = s[end - 1]
-    o = _PAIR.get(c)
-    if c == "“" and "„" not in s[begin:end]:
-        return None
-    if o is None:
-        return None
-    k = s.rfind(o, begin, end - 1)
-    if k < 0:
-        return None
-    return bool(_SPEECH.search(s[max(begin, k - 4) : k]))
-
-
 def boundaries(s: str, lang: str) -> list[int]:
     """End positions of the sentences inside a stretch of prose."""
     if lang == "th":
@@ -293,26 +328,13 @@ def boundaries(s: str, lang: str) -> list[int]:
                 out.append(a)
         return out
     fam = _FAMILY.get(lang, "cased")
-    table, out, begin = _table(lang), [], 0
+    out, begin = [], 0
     for m in TERMINATOR[fam].finditer(s):
         p = m.end()
         if p >= len(s):
             break
-        before, after = s[max(0, p - 64) : p], s[p : p + 64]
-        closed = s[p - 1] in _PAIR and s[p - 1] not in "）)"
-        if closed and not regex.match(r"[.!?…]*$", m[0]):
-            told = _opened_after_mark(s, p, begin)
-            nxt = after.lstrip()[:1]
-            if told and nxt and nxt not in ",;:–—-、，と" and not (fam == "cased" and nxt.islower() and not lang.endswith("-low")) and not (lang == "ko" and not after[:1].isspace()):
-                out.append(p)
-                begin = p
-                continue
-            if told is False and fam in ("cjk", "indic", "arabic") and regex.match(r"[\s]*\p{L}", after) and not (lang == "ko" and after[:1].isspace()):
-                continue
-            if told is False and lang.endswith("-low") and regex.match(r"\s+\p{Ll}", after):
-                continue
-        for brk, b, a in table:
-            if b.search(before) and a.match(after):
+        for brk, b, a in _rules_for(lang, s[p - 1]):
+            if b.search(s, begin, p) and a.match(s, p):
                 if brk:
                     out.append(p)
                     begin = p
