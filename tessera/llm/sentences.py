@@ -244,24 +244,61 @@ UNIT = regex.compile(
 )
 LABEL = regex.compile(r"\s*\p{L}[\p{L}\p{M}\s/'’-]{0,28}:\s+\S")
 ENDED = regex.compile(rf"[.!?…。！？।॥؟;:][{CLOSE}]*\s*$")
-WIDTH = 71  # lines that stay within this with the next word were not wrapped
+USUAL = (71, 110)  # of texts with too few line breaks to learn from: a line this short wasn't wrapped, one this long wasn't either
+LEAST_WIDTH, LEAST_BREAKS = 50, 4  # what a learned width needs
+Width = tuple[int, int]  # a line stays under the first with the next word, or is over the second: its break was meant
 
 
-def _wrapped(line: str, following: str) -> bool:
+def _first_word(line: str) -> str:
+    return line.split(None, 1)[0] if line.strip() else ""
+
+
+def wrap_width(text: str, lines: list) -> Width:
+    """The width at which a text's prose was wrapped, learned from its line breaks.
+
+    A wrapped line fits the width, as the next one does, but not with the next line's first word: each break inside a
+    block allows a range of widths. The width that most breaks allow is taken if there are enough of them, more than half
+    of all between lines of that length, and if most of the lines that follow don't begin with a capital.
+    """
+    spans = []
+    for one, two in zip(lines, lines[1:]):
+        if one is None or two is None:
+            continue
+        x, y = text[one[0] : one[1]].rstrip(), text[two[0] : two[1]].rstrip()
+        if not _hard_unit(y):
+            spans.append((max(len(x), len(y)), len(x) + len(_first_word(y)), len(x), y.lstrip()[:1].isupper()))
+    if len(spans) < LEAST_BREAKS:
+        return USUAL
+    steps: Counter[int] = Counter()
+    for low, high, *_ in spans:
+        if high >= max(low, LEAST_WIDTH):
+            steps[max(low, LEAST_WIDTH)] += 1
+            steps[high + 1] -= 1
+    most, at, width = 0, 0, 0
+    for w in sorted(steps):
+        at += steps[w]
+        if at > most:
+            most, width = at, w
+    capitals = sum(c for low, high, _, c in spans if low <= width <= high)
+    if most < LEAST_BREAKS or 2 * most <= sum(n > width // 2 for _, _, n, _ in spans) or 3 * capitals > 2 * most:
+        return USUAL
+    return width, width
+
+
+def _wrapped(line: str, following: str, width: Width) -> bool:
     """True if the line break only wraps running prose: the next word wouldn't have fitted."""
-    line = line.rstrip()
-    word = following.split(None, 1)[0] if following.strip() else ""
-    return len(line) + 1 + len(word) > WIDTH and len(line) <= 110
+    n = len(line.rstrip())
+    return n + 1 + len(_first_word(following)) > width[0] and n <= width[1]
 
 
-def _is_notes(text: str, lines: list, i: int) -> bool:
+def _is_notes(text: str, lines: list, i: int, width: Width) -> bool:
     """True for a block without any full stop in which not every line fills the width: notes, one a line."""
     own = []
     while i < len(lines) and lines[i] is not None:
         own.append(text[lines[i][0] : lines[i][1]])
         i += 1
     own = [x for x in own if not UNIT.match(x)]
-    return not any(_STOP.search(x) for x in own) and not all(_wrapped(x, y) for x, y in zip(own, own[1:]))
+    return not any(_STOP.search(x) for x in own) and not all(_wrapped(x, y, width) for x, y in zip(own, own[1:]))
 
 
 _STOP = regex.compile(r"[.!?…。！？।؟](?:\s|$)")
@@ -284,6 +321,7 @@ def stretches(text: str) -> Iterator[tuple[int, int, bool]]:
                 lines[-1] = (*lines[-1][:2], True)
     start = end = prev = None
     notes = False
+    width = wrap_width(text, lines)
     for i, ln in enumerate(lines):
         if ln is None:
             if start is not None:
@@ -293,15 +331,15 @@ def stretches(text: str) -> Iterator[tuple[int, int, bool]]:
         a, b, _ = ln
         s = text[a:b]
         if i == 0 or lines[i - 1] is None:
-            notes = _is_notes(text, lines, i)
-        if start is not None and not notes and _wrapped(text[prev[0] : prev[1]], s) and not _hard_unit(s):
+            notes = _is_notes(text, lines, i, width)
+        if start is not None and not notes and _wrapped(text[prev[0] : prev[1]], s, width) and not _hard_unit(s):
             end = b
         else:
             if start is not None:
                 yield start, end, False
             start = None
             nxt = lines[i + 1] if i + 1 < len(lines) and lines[i + 1] is not None else None
-            goes_on = not notes and nxt is not None and _wrapped(s, text[nxt[0] : nxt[1]]) and not _hard_unit(text[nxt[0] : nxt[1]])
+            goes_on = not notes and nxt is not None and _wrapped(s, text[nxt[0] : nxt[1]], width) and not _hard_unit(text[nxt[0] : nxt[1]])
             if UNIT.match(s) or not goes_on and LABEL.match(s) and not ENDED.search(s):
                 yield a, b, True
             else:

@@ -361,6 +361,21 @@ def test_wrapped_prose_is_joined():
     assert sentences.sentences(f"{a}\nmonth of May. It found none.")[0][1] == len(a) + len("\nmonth of May.")
 
 
+@pytest.mark.parametrize("width", [55, 60, 72, 100, 130])
+def test_wrap_width_is_learned(width):
+    import textwrap
+
+    rng = random.Random(width)
+    told = [" ".join(rng.choice(("office", "certificate", "of", "the", "compared", "sent", "during", "a", "registration", "month")) for _ in range(rng.randint(9, 30))).capitalize() + "." for _ in range(14)]
+    text = "\n\n".join(textwrap.fill(" ".join(told[i : i + 7]), width) for i in (0, 7)) + "\n\nName: A. Person\nDate: 3 May"
+    assert [" ".join(text[a:b].split()) for a, b in sentences.sentences(text)] == [*told, "Name: A. Person", "Date: 3 May"]
+
+
+def test_long_words_before_a_position_are_seen():
+    quoted = "“" + "very " * 60 + "long.”"
+    assert len(sentences.sentences(f"She wrote: {quoted} The clerk left.")) == 2
+
+
 def test_sentences_cover_all_text(spark, data):
     for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect():
         s = sentences.sentences(r.text)
