@@ -48,6 +48,39 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.split_report(frames, done, "row_id", _strata())
 
 
+def _text_key():
+    """Words of a text of 20 words or more; null for others."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.when(F.size(words) >= 20, F.sha2(F.array_join(words, " "), 256))
+
+
+def p2_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Splits in which neither a uid nor a text lies in two: rows are linked by both, over any number of steps."""
+    (frames,) = tables(spark, d, "frames")
+    return groupsplit.assign_splits(frames, "row_id", {**_uid(), "text": _text_key()}, list(_strata().values()))
+
+
+def p2_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of both assignments: (what, value)."""
+    (frames,) = tables(spark, d, "frames")
+    keys = frames.select("row_id", groupsplit.standard_uid("uid").alias("uid"), _text_key().alias("text_key"))
+    out = None
+    for name, done in (("uid", p2_assign(spark, d)), ("linked", p2_linked(spark, d))):
+        done = materialize(done, "assigned")
+        at = materialize(keys.join(done, "row_id"), "assigned-keys")
+        twice = lambda c: at.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("v"))  # noqa: E731, B023
+        share = at.groupBy("split").agg(F.count("*").alias("n")).join(at.agg(F.count("*").alias("all")))
+        near = share.agg(F.count_if(F.abs(F.col("n") / F.col("all") - F.when(F.col("split") == "train", 0.7).otherwise(0.15)) < 0.02).alias("v"))
+        parts = [("rows", done.agg(F.count("*").alias("v"))), ("uids in two splits", twice("uid")), ("splits near their share", near)]
+        parts += [("texts in two splits", twice("text_key"))] if name == "linked" else [("groups", done.agg(F.count_distinct("grp").alias("v")))]
+        report = groupsplit.split_report(frames, done, "row_id", _strata())
+        rows = [v.select(F.lit(f"{name}: {k}").alias("what"), F.col("v").cast("bigint").alias("value")) for k, v in parts]
+        rows.append(report.groupBy(F.concat_ws("=", "label", "value").alias("w")).agg(F.sum("n_rows").alias("value")).select(F.concat(F.lit(f"{name}: "), "w").alias("what"), "value"))
+        for r in rows:
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     (frames,) = tables(spark, d, "frames")
     rows, pairs = overlap.overlaps(frames)
@@ -128,6 +161,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(sizes, mixing.mix(sizes, targets), targets)
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per listed source: whether it is repeated within its limit, and its share is reached as nearly as its longest text allows."""
+    documents, targets = tables(spark, d, "documents", "mix_targets")
+    sizes = mixing.sized(documents)
+    done = materialize(mixing.mix(sizes, targets), "selection")
+    report = mixing.mix_report(sizes, done, targets)
+    most = done.groupBy("source").agg(F.max("copies").alias("copies"))
+    longest = sizes.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    r = report.join(most, "source", "left").join(longest, "source", "left").join(report.filter("stock_tokens > 0").agg(F.sum("target_share").alias("all_shares"), F.sum("taken_tokens").alias("all_taken")))
+    want = F.when(F.col("stock_tokens") > 0, F.col("target_share") / F.col("all_shares")).otherwise(0.0)
+    off = F.abs(F.col("taken_tokens") - want * F.col("all_taken"))
+    return r.select("source", "target_share", "max_repeats", (F.coalesce("copies", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (off <= F.coalesce("longest", F.lit(0)) + 1).alias("share_reached"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     (documents,) = tables(spark, d, "documents")
     return sentences.split_sentences(documents)

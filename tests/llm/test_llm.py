@@ -95,6 +95,48 @@ def test_assignment(spark):
     assert groupsplit.assign_splits(df.filter("false"), "row_id", {"uid": F.col("uid")}, [groupsplit.standard_label("top")]).count() == 0
 
 
+def test_groups_are_placed_by_their_whole_histogram(spark):
+    # every group is mixed: no label dominates, and one label is rare
+    rng = random.Random(3)
+    rows = []
+    for g in range(900):
+        for _ in range(rng.randint(1, 5)):
+            rows.append((len(rows), f"g{g}", rng.choice("aabbbc") if rng.random() > 0.01 else "rare"))
+    rows += [(len(rows) + i, "hot", rng.choice("abc")) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id bigint, uid string, top string")
+    a = groupsplit.assign_splits(df, "row_id", {"uid": F.col("uid")}, [F.col("top")]).join(df, "row_id").cache()
+    assert a.count() == len(rows) and a.groupBy("grp").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+    for top, n, want in a.groupBy("top").agg(F.count("*"), F.count_if(F.col("split") == "dev")).collect():
+        assert abs(want - 0.15 * n) <= 3, (top, n, want)
+
+
+def test_rows_are_linked_by_uid_and_text(spark):
+    rng = random.Random(8)
+    rows = [(i, f"u{rng.randrange(300)}" if i % 11 else None, f"t{rng.randrange(900)}" if i % 3 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "row_id bigint, uid string, text string")
+    a = groupsplit.assign_splits(df, "row_id", {"uid": F.col("uid"), "text": F.col("text")}, [F.lit("x")]).collect()
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, u, t in rows:
+        for e in filter(None, (u, t)):
+            up[find(e)] = find(("row", i))
+    got, want = {}, {}
+    for r in a:
+        got.setdefault(r.grp, set()).add(r.row_id)
+    for i, _, _ in rows:
+        want.setdefault(find(("row", i)), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and max(map(len, want.values())) > 20
+    n = {}
+    for r in a:
+        n[r.split] = n.get(r.split, 0) + 1
+    assert len({(r.grp, r.split) for r in a}) == len(got) and abs(n["train"] - 490) < 60
+
+
 def test_uid_spellings(spark):
     df = spark.createDataFrame([(x,) for x in ("u000000007", "UID 7", "u7", "urn:rec:000000007", "u-000000007", " U000.000.007 ")], "u string")
     assert {r.x for r in df.select(groupsplit.standard_uid("u").alias("x")).collect()} == {"u000000007"}
