@@ -41,13 +41,14 @@ _SECOND = r"(?:Vale|Bay|Hill|Bridge|Harbour|Cross|Green|Park|Heath|Point|Springs
 _FIRST = r"(?:Lower|Upper|Port|New|Old|North|South|East|West|Great|Little|Saint|St\.?|San|Santa|Bad|Alt|Neu|Le|La|Les|El|Los|Las)"
 _EU = rf"{_GAP}\d{{5}}{SP}{{1,2}}(?:{_FIRST}{SP}(?-i:(?=[^\W\d_a-zà-ÿ])))?[^\W\d_]\w+(?:-\w+)*(?:{SP}{_SECOND}\b)?"
 _FLAT = re.compile(rf"(?<!\w)Flat{SP}\d+\w?,?{SP}\Z", re.IGNORECASE)
+_LETTER = re.compile(r"[^\W\d_]")
 _ADDRESSES = tuple(  # (words of which one must occur, pattern)
     (words, re.compile(p, re.IGNORECASE))
     for words, p in (
         (("box", "p.o"), rf"(?<!\w)P\.?{SP}?O\.?{SP}?Box{SP}\d+(?:{_US}|{_UK})?"),
         (
             ("rue ", "avenue ", "chemin ", "place ", "boulevard ", "impasse ", "allée ", "quai ", "route ", "cours "),
-            rf"\d{{1,4}}(?:{SP}(?:bis|ter|quater)\b)?,?{SP}{{1,2}}(?:rue|avenue|chemin|place|boulevard|impasse|allée|quai|route|cours){SP}(?:(?:des|du|de{SP}la|de|d['’]){SP})?{_N}(?:{SP}(?-i:[A-ZÀ-Ý])[\w'’-]*)?(?:{_EU})?",
+            rf"(?<![\w#/.])\d{{1,4}}(?:{SP}(?:bis|ter|quater)\b)?,?{SP}{{1,2}}(?:rue|avenue|chemin|place|boulevard|impasse|allée|quai|route|cours){SP}(?:(?:des|du|de{SP}la|de|d['’]){SP})?{_N}(?:{SP}(?-i:[A-ZÀ-Ý])[\w'’-]*)?(?:{_EU})?",
         ),
         (
             ("calle ", "c/", "avda", "avenida ", "plaza ", "paseo ", "camino "),
@@ -55,11 +56,11 @@ _ADDRESSES = tuple(  # (words of which one must occur, pattern)
         ),
         (
             ("straße ", "strasse ", "gasse ", "allee ", "weg ", "platz ", "ufer ", "ring ", "damm ", "postfach "),
-            rf"(?<!\w)(?:[^\W\d_]+(?:straße|strasse|gasse|allee|weg|platz|ufer|ring|damm)|Postfach){SP}\d{{1,4}}(?:{SP}?[a-z]\b)?(?:{_EU})?",
+            rf"(?:(?<=[^\W\d_])(?:straße|strasse|gasse|allee|weg|platz|ufer|ring|damm)|(?<!\w)Postfach){SP}\d{{1,4}}(?:{SP}?[a-z]\b)?(?:{_EU})?",
         ),
         (
             ("street", "avenue", "road", "lane", "court", "terrace", "drive", "close", "crescent", "gardens", "place", "square", "way", "boulevard", "row", "walk", "mews", "hill", "grove", " rd", " blvd", " ln", " dr", " ct", " st", " ave", "pkwy"),
-            rf"\d{{1,5}}[A-Za-z]?,?{SP}{{1,2}}(?:{_N}{SP}{{1,2}}){{1,2}}{_WAY}(?!\w){_FLAT_NO}(?:{_US}|{_UK})?",
+            rf"(?<![\w#/.])\d{{1,5}}[A-Za-z]?,?{SP}{{1,2}}(?:{_N}{SP}{{1,2}}){{1,2}}{_WAY}(?!\w){_FLAT_NO}(?:{_US}|{_UK})?",
         ),
     )
 )
@@ -265,7 +266,10 @@ class Detector:
             if any(w in low for w in words):
                 for m in pattern.finditer(t):
                     a, b = m.span()
-                    if a and t[a].isdigit() and (t[a - 1].isalnum() or t[a - 1] in "_#/."):
+                    begin = a
+                    while a and _LETTER.match(t, a - 1) and _LETTER.match(t, a):  # the whole word that the street's kind ends
+                        a -= 1
+                    if a < begin and a and (t[a - 1].isdigit() or t[a - 1] == "_"):
                         continue
                     if t[a].isdigit() and (f := _FLAT.search(t, max(0, a - 64), a)):
                         a = f.start()
