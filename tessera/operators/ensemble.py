@@ -13,12 +13,15 @@ STARTS = (0.0, 0.5, 0.25, 1.0)
 TOLERANCE = 1e-6
 
 
-def assemble(vocab: DataFrame, docs: DataFrame, scores: dict[str, DataFrame], key: str = "row_id") -> DataFrame:
+def assemble(vocab: DataFrame, docs: DataFrame, scores: dict[str, DataFrame], key: str = "row_id", most: int = 100_000) -> DataFrame:
     """(key, top, tag_idx, one column a channel): every document against every tag of every industry; missing scores are 0.
+    The label space has at most ``most`` tags.
 
     Only the scores there are get shuffled, once and by document; the full grid is laid out after it and stays
     partitioned by ``key``, so that windows and groups by document don't shuffle it either.
     """
+    if vocab.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} tags")
     listed = vocab.select(F.struct("top", "tag_idx").alias("p")).agg(F.collect_list("p").alias("ps"))
     long = docs.select(key, F.lit(None).cast("string").alias("n"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("int").alias("i"), F.lit(0.0).alias("s"))
     for name, s in scores.items():

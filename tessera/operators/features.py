@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
+from ..plans.runtime import fitting, materialize
+
+MOST_TERMS = 500_000  # rows of a term table that may be broadcast
+MOST_CELLS = 3_000_000  # cells of the centroids that may be broadcast
 
 
 def word_terms(text: str = "text", chars: int = 2500, two: bool = True) -> Column:
@@ -21,22 +25,38 @@ def char_terms(text: str = "text", chars: int = 1200) -> Column:
 
 
 def term_counts(df: DataFrame, terms: Column, key: str = "row_id") -> DataFrame:
-    """(key, term, tf)."""
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf). The texts are shuffled once by key; their terms never are."""
+    each = df.select(key, terms.alias("__t")).repartition(key)
+    return each.select(key, F.explode("__t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def fit(tf: DataFrame, n_docs: int, min_df: int = 3, max_features: int = 300_000) -> DataFrame:
-    """Term table (term, df, idf): terms of at least ``min_df`` documents, the most frequent ``max_features`` of them; smooth idf ln((1+n)/(1+df))+1."""
+    """Term table (term, df, idf): terms of at least ``min_df`` documents, the most frequent ``max_features`` of them; smooth idf ln((1+n)/(1+df))+1.
+
+    Ties go to the lower term. Where there are more terms, a histogram of frequencies finds where the limit falls, and
+    only the terms of that bin are sorted.
+    """
     t = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df)
-    t = t.orderBy(F.desc("cf"), "term").limit(max_features)
+    t = materialize(t.withColumn("bin", F.floor(F.log2("cf") * 64).cast("int")), "terms")
+    above, cut, room = 0, None, max_features
+    for b, n in sorted(((r.bin, r.n) for r in t.groupBy("bin").agg(F.count("*").alias("n")).collect()), reverse=True):  # 64 bins an octave
+        if above + n > max_features:
+            cut, room = b, max_features - above
+            break
+        above += n
+    if cut is not None:
+        t = t.filter(F.col("bin") > cut).unionByName(t.filter(F.col("bin") == cut).orderBy(F.desc("cf"), "term").limit(room))
     return t.select("term", "df", (F.log(F.lit(1.0 + n_docs)) - F.log(1.0 + F.col("df")) + 1.0).alias("idf"))
 
 
 def transform(tf: DataFrame, terms: DataFrame, key: str = "row_id") -> DataFrame:
-    """(key, term, w): (1 + ln tf) * idf, L2-normalised a document."""
-    raw = tf.join(terms.select("term", "idf"), "term").select(key, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("x"))
-    norm = raw.groupBy(key).agg(F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(1e-9)).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
+    """(key, term, w): (1 + ln tf) * idf, L2-normalised a document.
+
+    A term table under ``MOST_TERMS`` rows is broadcast, so that frequent terms gather in no task; a larger one is joined by term.
+    """
+    raw = tf.join(fitting(terms.select("term", "idf"), MOST_TERMS), "term").select(key, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("x"))
+    per = raw.groupBy(key).agg(F.collect_list(F.struct("term", "x")).alias("xs"), F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(1e-9)).alias("norm"))
+    return per.select(key, "norm", F.explode("xs").alias("t")).select(key, "t.term", (F.col("t.x") / F.col("norm")).alias("w"))
 
 
 def stack(*blocks: tuple[str, DataFrame, float]) -> DataFrame:
@@ -63,8 +83,16 @@ def centroids(weights: DataFrame, labels: DataFrame, key: str = "row_id", by: st
 
 
 def centroid_scores(weights: DataFrame, cents: DataFrame, key: str = "row_id", by: str = "label") -> DataFrame:
-    """(key, label, score): dot product over common terms."""
-    return weights.join(cents, "term").groupBy(key, by).agg(F.sum(F.col("w") * F.col("c")).alias("score"))
+    """(key, label, score): dot product over common terms.
+
+    Each term has one row with its labels. Up to ``MOST_TERMS`` terms of ``MOST_CELLS`` cells in all are broadcast; the
+    products of a document are then summed where they arise.
+    """
+    per = cents.groupBy("term").agg(F.collect_list(F.struct(by, "c")).alias("cs"))
+    if cents.limit(MOST_CELLS + 1).count() <= MOST_CELLS:
+        per = F.broadcast(per)
+    each = weights.join(per, "term").select(key, "w", F.explode("cs").alias("c"))
+    return each.groupBy(key, F.col(f"c.{by}").alias(by)).agg(F.sum(F.col("w") * F.col("c.c")).alias("score"))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -11,8 +11,10 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
+from ..plans.runtime import materialize
 
 FLOOR = 0.01
+MOST_TOKENS = 20_000  # tokens of tags that may be broadcast
 
 
 def document_frequency(df: DataFrame, chars: int = 2000) -> DataFrame:
@@ -48,11 +50,21 @@ def prepared(df: DataFrame, key: str = "row_id", window: int = 400, body_chars:
 
 def channels(df: DataFrame, vocab: DataFrame, idfs: DataFrame, default: float, key: str = "row_id", window: int = 400, body_chars: int = 2500) -> DataFrame:
     """(key, top, tag_idx, tag, heading, verbatim) of every document and tag with a token in common."""
+    tw = materialize(tag_weights(vocab, idfs, default), "tag-weights")
     d = prepared(df, key, window, body_chars)
-    toks = d.select(key, F.flatten("heads").alias("ht"), F.split("body", " ").alias("bt"))
-    seen = toks.select(key, F.explode(F.array_union("ht", "bt")).alias("token"), "ht", "bt").select(key, "token", F.array_contains("ht", F.col("token")).alias("in_head"), F.array_contains("bt", F.col("token")).alias("in_body"))
-    tw = tag_weights(vocab, idfs, default)
-    hit = seen.join(tw, "token").groupBy(key, "top", "tag_idx", "tag", "n_tokens", "total").agg(F.sum(F.when(F.col("in_head"), 2 * F.col("w")).otherwise(F.col("w"))).alias("got"), F.count_if("in_body").alias("n_body"))
+    listed = tw.select("token").distinct()
+    few = listed.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS
+    if few:  # only tokens of tags go on
+        d = d.join(F.broadcast(listed.agg(F.collect_list("token").alias("known"))))  # one row
+        own = lambda c: F.array_intersect(c, "known")
+    else:
+        own = F.array_distinct
+    d = materialize(d.select(key, "heads", "norms", "body", own(F.flatten("heads")).alias("ht"), own(F.split("body", " ")).alias("bt")), "prepared")
+    flags = lambda c: F.transform(c, lambda t: F.struct(t.alias("token"), F.array_contains("ht", t).alias("in_head"), F.array_contains("bt", t).alias("in_body")))
+    seen = d.select(key, F.explode(flags(F.array_union("ht", "bt"))).alias("t")).select(key, "t.*")
+    tags = F.broadcast(tw) if few and tw.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS else tw
+    hit = seen.join(tags, "token").groupBy(key, "top", "tag_idx", "tag", "n_tokens", "total").agg(F.sum(F.when(F.col("in_head"), 2 * F.col("w")).otherwise(F.col("w"))).alias("got"), F.count_if("in_body").alias("n_body"))
+    d = d.select(key, "heads", "norms", "body")
     full = hit.join(d, key)
     own = X.tag_tokens("tag")
     boost = F.when(F.array_contains("norms", F.col("tag")), 1.0).when(F.exists("heads", lambda s: (F.size(s) > 0) & (F.size(F.array_except(own, s)) == 0)), 0.5).otherwise(0.0)

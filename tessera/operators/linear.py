@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..plans.runtime import fitting, materialize, ranked
+from .features import MOST_TERMS
 from .labels import TOPS
 
 GRID = (0.5, 1.0, 2.0, 4.0, 8.0)
 
 
-def vectors(weights: DataFrame, terms: DataFrame, key: str = "row_id") -> DataFrame:
-    """(key, features): sparse vectors of (key, term, w) over the term table, terms numbered in term order."""
-    from pyspark.sql import Window as W
+def vectors(weights: DataFrame, terms: DataFrame, key: str = "row_id", docs: DataFrame | None = None) -> DataFrame:
+    """(key, features): sparse vectors of (key, term, w) over the term table, terms numbered in term order.
 
-    idx = terms.select("term", (F.row_number().over(W.orderBy("term")) - 1).cast("int").alias("i"))
-    size = terms.count()
-    long = weights.join(idx, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("iw"))
+    With ``docs(key)``, documents without any term get the empty vector. Arrow batches only pack ready arrays.
+    """
+    idx = materialize(ranked(terms.select("term"), [F.col("term")], "i"), "numbered")
+    size = idx.count()
+    long = weights.join(fitting(idx, MOST_TERMS), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct((F.col("i") - 1).cast("int").alias("i"), F.col("w").cast("double").alias("w")))).alias("iw"))
+    if docs is not None:
+        long = docs.select(key).join(long, key, "left")
+    iw = F.coalesce("iw", F.array().cast("array<struct<i:int,w:double>>"))
+    flat = long.select(key, F.transform(iw, lambda x: x["i"]).alias("indices"), F.transform(iw, lambda x: x["w"]).alias("values"))
 
-    @F.udf(VectorUDT())
-    def to_vector(iw):
-        return SparseVector(size, [x["i"] for x in iw], [x["w"] for x in iw])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            v = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), b.column(1), b.column(2)], names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([b.column(0), v], names=[key, "features"])
 
-    return long.select(key, to_vector("iw").alias("features"))
+    return flat.mapInArrow(pack, T.StructType([T.StructField(key, weights.schema[key].dataType), T.StructField("features", VectorUDT())]))
 
 
 def fit_margins(train: DataFrame, c: float = 1.0, weight: str | None = None, kind: str = "svm"):

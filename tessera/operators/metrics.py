@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.runtime import materialize, ranked
 from .labels import OTHER, TOPS
 
 
@@ -72,25 +73,17 @@ def slices(df: DataFrame, by: str) -> DataFrame:
 def coverage_curve(df: DataFrame, correct: Column, confidence: str, key: str, points: int = 19) -> DataFrame:
     """(point, coverage, accuracy, threshold): accuracy among the most confident rows.
 
-    The order is total (confidence down, then key). Ranks come from a range partitioning: rows are numbered inside
-    range partitions and offset by the counts of the partitions before, so no task sorts all rows.
+    The order is total (confidence down, then key), and ranked by ranges that grow in number with the partitions.
     """
     spark = df.sparkSession
     d = df.filter(F.col(confidence).isNotNull()).select(F.col(confidence).alias("c"), F.col(key).alias("k"), correct.cast("int").alias("ok"))
-    n = d.count()
-    if not n:
-        return spark.createDataFrame([], "point int, coverage double, accuracy double, threshold double")
-    cuts = d.approxQuantile("c", [i / 32 for i in range(1, 32)], 0.01)
-    bin_ = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda x: x > F.col("c")))
-    d = d.withColumn("b", bin_)
-    per = d.groupBy("b").agg(F.count("*").alias("n"), F.sum("ok").alias("s"))
-    w = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("n0", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("s0", F.coalesce(F.sum("s").over(w), F.lit(0))).select("b", "n0", "s0")
-    own = W.partitionBy("b").orderBy(F.desc("c"), "k")
-    r = d.withColumn("r", F.row_number().over(own)).withColumn("hits", F.sum("ok").over(own.rowsBetween(W.unboundedPreceding, 0))).join(F.broadcast(per), "b")
-    takes = spark.createDataFrame([(i + 1, max(1, round((i + 1) / points * n))) for i in range(points)], "point int, take bigint")
-    at = r.withColumn("take", F.col("r") + F.col("n0")).join(F.broadcast(takes), "take")
-    return at.select("point", F.round(F.col("take") / n, 4).alias("coverage"), F.round((F.col("hits") + F.col("s0")) / F.col("take"), 5).alias("accuracy"), F.round("c", 6).alias("threshold"))
+    r = materialize(ranked(d, [F.desc("c"), F.col("k")]), "ranked")
+    n = r.count()
+    takes = [(i + 1, max(1, round((i + 1) / points * n))) for i in range(points)] if n else []
+    # correct ones up to each point: one pass, a count a point
+    hits = r.agg(*[F.sum(F.when(F.col("rank") <= t, F.col("ok")).otherwise(0)).alias(f"h{i}") for i, t in takes]).first() if n else None
+    at = spark.createDataFrame([(i, t, hits[f"h{i}"]) for i, t in takes], "point int, take bigint, hits bigint")
+    return r.join(F.broadcast(at), F.col("rank") == F.col("take")).select("point", F.round(F.col("take") / F.lit(n), 4).alias("coverage"), F.round(F.col("hits") / F.col("take"), 5).alias("accuracy"), F.round("c", 6).alias("threshold"))
 
 
 def accuracy_at_target(curve: DataFrame, target: float) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..functions import text as X
+from ..plans.runtime import fitting
 from .labels import INDUSTRIES, OTHER, with_top
 
 SEED = 20240917
+BUCKET = 20_000
 
 
 def first_rows(df: DataFrame, key: str = "uid", order: str = "row_id") -> DataFrame:
@@ -21,11 +25,12 @@ def stratified_split(df: DataFrame, fractions: tuple[float, float, float] = (0.7
 
     Half-even rounding; from three members on, every split gets at least one. Positions within a stratum come from
     bucketed counts: a bucket's rows are numbered in its own partition and offset by the counts of earlier buckets, so
-    that no task sorts a whole stratum.
+    that no task sorts a whole stratum. Buckets have about ``BUCKET`` members.
     """
     one = first_rows(df.select("uid", "row_id", "top", "document_format"))
+    digits = max(1, math.ceil(math.log(max(1, df.count()) / BUCKET, 16)))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("uid")))
-    keyed = one.select("uid", F.concat_ws("|", "top", "document_format").alias("stratum"), h.alias("h"), F.substring(h, 1, 2).alias("b"))
+    keyed = one.select("uid", F.concat_ws("|", "top", "document_format").alias("stratum"), h.alias("h"), F.substring(h, 1, digits).alias("b"))
     per = keyed.groupBy("stratum", "b").agg(F.count("*").alias("k"))
     w = W.partitionBy("stratum").orderBy("b")
     per = per.withColumn("before", F.sum("k").over(w) - F.col("k")).withColumn("n", F.sum("k").over(W.partitionBy("stratum")))
@@ -70,7 +75,7 @@ def sample_weights(df: DataFrame, domains: DataFrame, hard_weight: float = 1.5)
     n = per.agg(F.sum("c")).first()[0] or 0
     base = per.withColumn("w", F.lit(float(n)) / (4 * F.col("c")))
     hard = F.when((F.col("top") == OTHER) & F.col("is_hard_negative"), F.lit(hard_weight)).otherwise(1.0)
-    return rows.join(F.broadcast(base), "top").select("row_id", "top", (F.col("w") * hard).alias("weight"))
+    return rows.join(fitting(base, 10_000), "top").select("row_id", "top", (F.col("w") * hard).alias("weight"))
 
 
 def descriptions_by_tag(df: DataFrame, most: int = 6) -> DataFrame:

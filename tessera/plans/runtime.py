@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def session(app: str = "tessera", cores: str = "*", **conf: str) -> SparkSession:
@@ -56,6 +56,28 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None, codec
     return out
 
 
+def fitting(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has at most ``most`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """``df`` with the 1-based rank of each row in a total order.
+
+    Rows are numbered inside ranges, as many as there are shuffle partitions, and offset by the ranges before: no task sorts all.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = materialize(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    offsets, upto = [], 0
+    for p, n in sorted((r["__p"], r["n"]) for r in d.groupBy("__p").agg(F.count("*").alias("n")).collect()):  # one row a range
+        offsets.append((p, upto))
+        upto += n
+    base = spark.createDataFrame(offsets, "__p int, __base bigint")
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return d.join(F.broadcast(base), "__p").withColumn(out, own + F.col("__base")).drop("__p", "__base")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a scratch table through Hadoop's file system layer."""
     jvm = spark.sparkContext._jvm
