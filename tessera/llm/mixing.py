@@ -16,11 +16,12 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.runtime import materialize
+from ..plans.runtime import fitting, materialize
 from .bpe import count_tokens
 from .thresholds import bucket_of, nested_cuts
 
 SEED = 7
+MOST_SOURCES = 100_000  # rows of a table of sources that may be broadcast
 
 
 def budgets(stock: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
@@ -54,17 +55,17 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     """
     spark = sizes.sparkSession
     want = {r.source: (float(r.target_share), int(r.max_repeats)) for r in targets.filter("source is not null and target_share is not null and max_repeats is not null").collect()}
-    listed = sizes.join(F.broadcast(targets.select("source").distinct()), "source").filter("n_tokens > 0")
+    listed = sizes.join(fitting(targets.select("source").distinct(), MOST_SOURCES), "source").filter("n_tokens > 0")
     stock = {r.source: r.t for r in listed.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     plan = []
     for s, b in budgets(stock, want, total_tokens).items():
         passes = min(math.floor(b / stock[s] + 1e-9), want[s][1])
         plan.append((s, passes, b - passes * stock[s] if passes < want[s][1] else 0.0))
-    plan_df = spark.createDataFrame(plan, "source string, passes int, rest double")
-    items = listed.join(F.broadcast(plan_df), "source").withColumn("bucket", bucket_of(F.col(key), seed))
+    plan_df = fitting(spark.createDataFrame(plan, "source string, passes int, rest double"), MOST_SOURCES)
+    items = listed.join(plan_df, "source").withColumn("bucket", bucket_of(F.col(key), seed))
     cuts = nested_cuts(items.select(F.col("source").alias("grp"), "bucket", F.col("n_tokens").cast("double").alias("weight")), plan_df.select(F.col("source").alias("grp"), F.lit(0).alias("k"), F.col("rest").alias("budget")))
     cuts = cuts.select(F.col("grp").alias("source"), "cut")
-    return items.join(F.broadcast(cuts), "source").withColumn("copies", F.col("passes") + (F.col("bucket") < F.col("cut")).cast("int")).filter("copies > 0").select(key, "source", "n_tokens", "copies")
+    return items.join(F.broadcast(cuts) if len(plan) <= MOST_SOURCES else cuts, "source").withColumn("copies", F.col("passes") + (F.col("bucket") < F.col("cut")).cast("int")).filter("copies > 0").select(key, "source", "n_tokens", "copies")
 
 
 def mix_report(sizes: DataFrame, selected: DataFrame, targets: DataFrame) -> DataFrame:

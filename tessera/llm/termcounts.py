@@ -50,7 +50,9 @@ def _partial(fields: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, list[int]]] = [{} for _ in fields]
+        n_rows = 0
         for b in batches:
+            n_rows += b.num_rows
             for k, d in enumerate(held):
                 col = b.column(k)
                 flat, owner = col.flatten(), pc.list_parent_indices(col)
@@ -72,6 +74,7 @@ def _partial(fields: list[str]):
             if sum(map(len, held)) > KEPT:
                 yield from flush(held)
         yield from flush(held)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([n_rows], pa.int64()), pa.array([n_rows], pa.int64())], names=["field_name", "term", "occ", "n_rows"])
 
     return run
 
@@ -103,8 +106,15 @@ def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_counts(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(field_name, term, id, n_occurrences, n_rows) of every distinct term of ``fields`` (name -> array of terms)."""
+    return _counted(df, fields)[0]
+
+
+def _counted(df: DataFrame, fields: dict[str, Column]) -> tuple[DataFrame, int]:
+    """``term_counts`` and the number of all rows, from one pass over ``df``."""
     part = df.select(*[c.alias(f"f{i}") for i, c in enumerate(fields.values())]).mapInArrow(_partial(list(fields)), "field_name string, term string, occ bigint, n_rows bigint")
     part = materialize(part, "partial")
+    total = part.filter("field_name is null").agg(F.sum("n_rows")).first()[0] or 0
+    part = part.filter("field_name is not null")
     dic = materialize(part.select("field_name", "term").distinct().mapInArrow(_numbered, "field_name string, term string, part int, at bigint"), "dictionary")
     sizes = sorted((r.part, r.n) for r in dic.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
     offsets, upto = [], 0
@@ -116,11 +126,11 @@ def term_counts(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     coded = part.join(dic, ["field_name", "term"]).select("id", "occ", "n_rows", F.floor(F.col("id") / BLOCK).alias("block"))
     ranges = max(1, min(upto // BLOCK + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sums = coded.repartition(ranges, "block").select("id", "occ", "n_rows").mapInArrow(_block_sums, "id bigint, n_occurrences bigint, n_rows bigint")
-    return dic.join(sums, "id").select("field_name", "term", "id", "n_occurrences", "n_rows")
+    return dic.join(sums, "id").select("field_name", "term", "id", "n_occurrences", "n_rows"), total
 
 
 def marked(df: DataFrame, fields: dict[str, Column], rare_below: int = 3, common_over: float = 0.05) -> DataFrame:
     """``term_counts`` with ``mark``."""
-    total = df.count()
+    counts, total = _counted(df, fields)
     mark = F.when(F.col("n_rows") < rare_below, "rare").when(F.col("n_rows") > F.lit(total * common_over), "common")
-    return term_counts(df, fields).withColumn("mark", mark)
+    return counts.withColumn("mark", mark)
