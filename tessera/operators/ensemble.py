@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-# The channels, the grid of their weights, the starts of the search and its tolerance.
+from ..sources.tables import WEIGHTS
+
+# The channels, the starts of the search and its tolerance.
 CHANNELS = ("linear", "rocchio", "prototype", "heading", "verbatim")
-WEIGHTS = (0.0, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0)
 STARTS = (0.0, 0.5, 0.25, 1.0)
 TOLERANCE = 1e-6
 

@@ -23,7 +23,11 @@ def vectors(weights: DataFrame, terms: DataFrame, key: str = "row_id", docs: Dat
 
     With ``docs(key)``, documents without any term get the empty vector. Arrow batches only pack ready arrays.
     """
-    idx = materialize(ranked(terms.select("term"), [F.col("term")], "i"), "numbered")
+    return packed(weights, materialize(ranked(terms.select("term"), [F.col("term")], "i"), "numbered"), key, docs)
+
+
+def packed(weights: DataFrame, idx: DataFrame, key: str = "row_id", docs: DataFrame | None = None) -> DataFrame:
+    """``vectors`` for terms already numbered from 1: ``idx(term, i)``."""
     size = idx.count()
     long = weights.join(fitting(idx, MOST_TERMS), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct((F.col("i") - 1).cast("int").alias("i"), F.col("w").cast("double").alias("w")))).alias("iw"))
     if docs is not None:
@@ -86,3 +90,26 @@ def select_c(train: DataFrame, dev: DataFrame, grid: tuple[float, ...] = GRID, w
         if best is None or a > best[2]:
             best = (m, c, a)
     return best
+
+
+def fit_head(train: DataFrame, dev: DataFrame, n_classes: int, grid: tuple[float, ...], key: str = "row_id"):
+    """(model, {c: dev accuracy}, c): the linear head of one label space, the first of the best C on dev rows.
+
+    One multinomial fit a value of C; its coefficients are classes x features, whatever the number of rows. Dev rows
+    with a label out of the space (-1) count as wrong.
+    """
+    best, told = None, {}
+    for c in grid:
+        m = fit_margins(train, c, None, "lr")
+        r = head_scores(m, dev, n_classes, key, ["label"]).withColumn("hit", (F.array_position("margins", F.array_max("margins")) - 1 == F.col("label")).cast("double")).agg(F.avg("hit").alias("a")).first()
+        told[c] = float(r.a or 0.0)
+        if best is None or told[c] > told[best[1]]:
+            best = (m, c)
+    return best[0], told, best[1]
+
+
+def head_scores(model, df: DataFrame, n_classes: int, key: str = "row_id", keep: list[str] | None = None) -> DataFrame:
+    """(key, *keep, margins): one margin a class; classes the head never saw get one below the least."""
+    m = model.transform(df).select(key, *(keep or []), vector_to_array("rawPrediction").alias("m"))
+    fill = F.array_repeat(F.array_min("m") - 1.0, F.greatest(F.lit(n_classes) - F.size("m"), F.lit(0)))
+    return m.select(key, *(keep or []), F.slice(F.concat("m", fill), 1, n_classes).alias("margins"))

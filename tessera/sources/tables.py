@@ -13,7 +13,8 @@ from ..functions import text as X
 
 COLUMNS = ("uid", "domain", "document_type", "document_description", "document_format", "locale", "text")
 
-# The thresholds of label merging, and the grids of C of both tiers.
+# The grid of ensemble weights, the thresholds of label merging, and the grids of C of both tiers.
+WEIGHTS = (0.0, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0)
 MERGE_THRESHOLDS = (0.5, 0.35, 0.25, 0.18, 0.12, 0.08)
 C_TIER1 = (0.5, 1.0, 2.0, 4.0, 8.0)
 C_TIER2 = (1.0, 2.0, 4.0, 8.0)
@@ -30,10 +31,19 @@ class Settings:
     heading_window: int = 400
     body_chars: int = 2500
     idf_chars: int = 2000
-    idf_sample: int | None = None
+    # tier 1: words and pairs; tier 2: also characters
     min_df: int = 3
+    tier2_min_df: int = 2
     max_features: int = 300_000
+    char_chars: int = 1200
+    char_min_df: int = 3
+    char_max_features: int = 300_000
+    use_embeddings: bool = True
+    embedding_size: int = 64
+    embedding_chars: int = 2000
     embedding_scale: float = 0.6
+    most_descriptions: int = 6
+    ensemble_grid: tuple[float, ...] = WEIGHTS
     hard_negative_weight: float = 1.5
     c_grid: tuple[float, ...] = C_TIER1
     tier2_c_grid: tuple[float, ...] = C_TIER2
@@ -102,24 +112,39 @@ def read_splits(spark: SparkSession, path: str, rebuild=None) -> DataFrame | Non
     return spark.read.parquet(path)
 
 
-def content_key(text: str = "text", limit: int = 2000):
-    return F.sha2(X.truncate(text, limit), 256)
+def content_key(text: str = "text", limit: int = 2000, signature: str = ""):
+    """Key of a text's vector: its first characters, and the signature of the model that makes it."""
+    t = X.truncate(text, limit)
+    return F.sha2(F.concat(F.lit(signature + "\x1f"), t) if signature else t, 256)
 
 
-def cache_misses(df: DataFrame, cache: DataFrame, text: str = "text", limit: int = 2000) -> DataFrame:
+def cache_misses(df: DataFrame, cache: DataFrame, text: str = "text", limit: int = 2000, signature: str = "") -> DataFrame:
     """Distinct texts whose content key the cache lacks: (key, text)."""
-    wanted = df.groupBy(content_key(text, limit).alias("key")).agg(F.first(X.truncate(text, limit)).alias("text"))
+    wanted = df.groupBy(content_key(text, limit, signature).alias("key")).agg(F.first(X.truncate(text, limit)).alias("text"))
     return wanted.join(cache.select("key"), "key", "left_anti")
 
 
-def embed_cached(df: DataFrame, path: str, embed, text: str = "text", limit: int = 2000) -> DataFrame:
+def embed_cached(df: DataFrame, path: str, embed, text: str = "text", limit: int = 2000, signature: str = "") -> DataFrame:
     """(key, embedding) of every distinct text; only misses are embedded by ``embed(DataFrame(key, text))`` and appended."""
     spark = df.sparkSession
-    cache = spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], "key string, embedding array<float>")
-    embed(cache_misses(df, cache, text, limit)).select("key", "embedding").write.mode("append").parquet(path)
+    cache = spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], "key string, embedding array<double>")
+    embed(cache_misses(df, cache, text, limit, signature)).select("key", F.col("embedding").cast("array<double>").alias("embedding")).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
+class EmbeddingStore:
+    """Vectors of documents from a cache folder; texts it lacks are embedded once, whatever rows have them."""
+
+    def __init__(self, path: str, embed, signature: str, limit: int = 2000):
+        self.path, self.embed, self.signature, self.limit = path, embed, signature, limit
+
+    def get(self, df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+        """(key, embedding) of ``df(key, text)``."""
+        cache = embed_cached(df, self.path, self.embed, text, self.limit, self.signature)
+        keyed = df.select(key, content_key(text, self.limit, self.signature).alias("key"))
+        return keyed.join(cache.dropDuplicates(["key"]), "key").select(key, "embedding")
+
+
 def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
     vocabulary.write.mode("overwrite").parquet(path)
 
@@ -134,10 +159,33 @@ def vocabulary_from_json(df: DataFrame) -> DataFrame:
     return df.select("top", F.posexplode(F.from_json("tags_json", "array<string>")).alias("tag_idx", "tag"))
 
 
-def write_report(report: dict, path: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, through Hadoop's file system layer."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The file's text, None if there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
     """A small report as JSON."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    Path(path).write_text(json.dumps(report, indent=2, sort_keys=True, default=str))
+    write_text(spark, path, json.dumps(report, indent=2, sort_keys=True, default=str))
+
+
+def write_aliases(aliases: DataFrame, path: str, threshold: float) -> None:
+    """The alias table (top, tag, canonical) of one threshold."""
+    aliases.filter(F.col("threshold") == threshold).select("top", "tag", "canonical").write.mode("overwrite").parquet(path)
 
 
 UNBOUNDED = ("domains", "leaks", "aliases")  # reports that grow with the data
@@ -155,12 +203,13 @@ def write_reports(reports: dict[str, DataFrame], folder: str, name: str, most: i
             out[k] = {"table": path, "rows": v.sparkSession.read.schema(v.schema).parquet(path).count()}
         else:
             out[k] = [r.asDict(True) for r in rows]
-    write_report(out, os.path.join(folder, f"{name}.json"))
+    spark = next(iter(reports.values())).sparkSession
+    write_report(spark, out, os.path.join(folder, f"{name}.json"))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row (path, text) a text file."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def fingerprint(df: DataFrame, most: int = 64) -> DataFrame:

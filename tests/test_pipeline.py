@@ -32,24 +32,56 @@ def corpus(spark):
     return df.cache(), dom
 
 
-def test_end_to_end(spark, corpus, tmp_path):
+@pytest.fixture(scope="module")
+def trained(spark, corpus):
     df, dom = corpus
-    s = S.Settings(min_df=1)
+    s = S.Settings(min_df=1, tier2_min_df=1, char_min_df=1, c_grid=(1.0,), tier2_c_grid=(1.0, 4.0))
     rows, vocab, reports = pipeline.run_prepare(df, dom, s)
     rows = rows.cache()
-    assert reports["leaks"].count() == 0 and vocab.count() == 6
-    b = pipeline.run_train(rows, vocab, dom, s)
+    return rows, vocab, reports, dom, pipeline.run_train(rows, vocab, dom, s)
+
+
+def test_end_to_end(spark, trained, tmp_path):
+    rows, vocab, reports, dom, b = trained
+    assert reports["leaks"].count() == 0 and vocab.count() == 6 and reports["lexical_top1"].first().heading > 0.9
+    for top in ("healthcare", "finance", "government"):
+        told = b.report["tier2"][top]
+        assert set(told["single"]) == set(pipeline.CHANNELS) and told["single"]["linear"] > 0.9 and told["single"]["prototype"] > 0.5 and told["ensemble_accuracy"] >= max(told["single"].values()) - 1e-9
+        assert set(told["c_grid"]) == {1.0, 4.0} and told["selected_c"] in told["c_grid"]
+    one, two = (x.describe() for x in b.spaces.values())
+    assert one["char_features"] == 0 < two["char_features"] and one["embedding_dim"] == 64 and two["dimension"] == sum(two[k] for k in ("word_features", "char_features", "embedding_dim"))
     out = pipeline.run_evaluate(b, rows)
     h = out["headline"].first()
-    assert h.tier1_accuracy > 0.95 and h.exact_all > 0.95
+    assert h.tier1_accuracy > 0.95 and h.exact_all > 0.95 and out["recommended"].count() == 0
     b.save(str(tmp_path / "m"))
     again = pipeline.Bundle.load(spark, str(tmp_path / "m"))
     d = rows.filter("split = 'test'").limit(6)
     one = {r.row_id: (r.industry, r.sub_tag) for r in b.predict(d).collect()}
     two = {r.row_id: (r.industry, r.sub_tag) for r in again.predict(d).collect()}
     assert one == two and all((t is None) == (i == "other") for i, t in one.values())
+    got = pipeline.Predictor(spark, str(tmp_path / "m")).predict_batch(["**Loan Contract**\n\nborrower interest repayment", "", "flour butter oven sugar"], 2)
+    assert got[0]["sub_tag"] == "loan contract" and len(got) == 3 and len(got[0]["alternatives"]) == 2 and got[2]["industry"] == "other"
     with pytest.raises(FileNotFoundError):
         pipeline.Bundle.load(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        pipeline.Bundle.load(spark, str(tmp_path / "m"), S.EmbeddingStore(str(tmp_path / "e"), None, "another model"))
+
+
+def test_without_embeddings(spark, trained):
+    rows, vocab, _, dom, _ = trained
+    s = S.Settings(min_df=1, tier2_min_df=1, char_chars=0, c_grid=(1.0,), tier2_c_grid=(1.0,), use_embeddings=False)
+    b = pipeline.run_train(rows, vocab, dom, s)
+    assert b.store is None and b.spaces["tier1"].describe()["embedding_dim"] == 0 and b.tables["protos"].count() == 0
+    assert b.report["tier2"]["finance"]["ensemble_accuracy"] > 0.9
+
+
+def test_scorer_on_a_stream(spark, trained, tmp_path):
+    rows, *_, b = trained
+    src = str(tmp_path / "in")
+    rows.filter("split = 'test'").select("row_id", "text").limit(5).write.parquet(src)
+    q = score_stream(stream_documents(spark, src, "row_id bigint, text string"), lambda d: b.predict(d).select("row_id", "industry", "sub_tag"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
 def test_stream(spark, corpus, tmp_path):
@@ -74,6 +106,7 @@ def test_split_cache_and_embedding_cache(spark, corpus, tmp_path):
     p = str(tmp_path / "emb")
     n = S.embed_cached(df, p, embed).count()
     assert S.embed_cached(df, p, embed).count() == n and calls == [n, 0]
+    assert S.embed_cached(df, p, embed, signature="b").count() == 2 * n and calls == [n, 0, n]  # another model meets no stale vector
     assert S.read_splits(spark, str(tmp_path / "none")) is None
 
 
