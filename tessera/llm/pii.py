@@ -156,16 +156,41 @@ def name_model(parts: list[tuple[str, str]]) -> dict[str, str]:
     return out
 
 
+def _letter(c: str) -> bool:
+    """What names are made of: a word character that is no decimal digit or underscore."""
+    return c.isalpha() or c.isalnum() and not c.isdecimal()
+
+
 class Detector:
     """Finds mentions; ``model`` as of ``name_model``."""
 
     def __init__(self, model: dict[str, str]):
+        import ahocorasick
+
         self.model = model
         self.word = re.compile(rf"[^\W\d_]{{{min(map(len, model), default=4)},}}")
+        self.parts = ahocorasick.Automaton()
+        for p, r in model.items():
+            self.parts.add_word(p, (len(p), r))
+        if model:
+            self.parts.make_automaton()
+
+    def known(self, t: str) -> list[tuple[int, int, str]]:
+        """(start, end, role) of the whole words that are name parts, in order."""
+        low = t.lower()
+        if len(low) != len(t):  # some letter has no lower case of one letter
+            found = [(m.start(), m.end(), r) for m in self.word.finditer(t) if (r := self.model.get(m[0].lower()))]
+        else:
+            n, found = len(t), []
+            for last, (k, r) in self.parts.iter(low) if self.model else ():
+                a, b = last + 1 - k, last + 1
+                if (b == n or not _letter(low[b])) and (not a or not _letter(low[a - 1])):
+                    found.append((a, b, r))
+        return [w for w in found if w[1] - w[0] > 3 or t[w[0]].isupper()]
 
     def names(self, t: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        model, out = self.model, []
-        words = [(m.start(), m.end(), r) for m in self.word.finditer(t) if (r := model.get(m[0].lower())) and (m.end() - m.start() > 3 or m[0][0].isupper())]
+        out = []
+        words = self.known(t)
         i = 0
         while i < len(words):
             a, b, role = words[i]

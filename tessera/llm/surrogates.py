@@ -180,17 +180,28 @@ def _found(key: str, kind_of_key: str, model: dict[str, str], secret: bytes) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Detector(model).find
-        first = lru_cache(200_000)(lambda k, c: surrogate(k, c, secret))
+        first = lru_cache(100_000)(lambda k, c: surrogate(k, c, secret))
+
+        @lru_cache(50_000)
+        def of(kind: str, value: str, hint: str) -> tuple[list[str], list[str], str]:
+            own = units(kind, value, model)
+            made = [first(*u) for u in own]
+            ents = [f"{u}\x1f{c}\x1f{gender(c)}\x1f{hint}" if u == "given" else f"{u}\x1f{c}\x1f\x1f" for u, c in own]
+            return ents, made, rewrite(kind, value, made, secret)
+
         for b in batches:
             owner, start, end, kinds, values, ents, mades, at, repl = [], [], [], [], [], [], [], [0], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 for x, y, k in find(t):
                     v = t[x:y]
-                    own = units(k, v, model)
-                    made = [first(*u) for u in own]
-                    owner.append(i), start.append(x), end.append(y), kinds.append(k), values.append(v), repl.append(rewrite(k, v, made, secret))
-                    hint = _title(t, x) if k == "name" else ""
-                    ents += [f"{u}\x1f{c}\x1f{gender(c) if u == 'given' else ''}\x1f{hint if u == 'given' else ''}" for u, c in own]
+                    own, made, new = of(k, v, _title(t, x) if k == "name" else "")
+                    owner.append(i)
+                    start.append(x)
+                    end.append(y)
+                    kinds.append(k)
+                    values.append(v)
+                    repl.append(new)
+                    ents += own
                     mades += made
                     at.append(len(ents))
             who, offsets = pa.array(owner, pa.int64()), pa.array(at, pa.int32())
