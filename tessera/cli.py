@@ -6,11 +6,11 @@ import argparse
 import json
 import os
 
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from .operators import labels
 from .plans import pipeline
-from .plans.runtime import session, ship
+from .plans.runtime import clean, session, ship
 from .sources.tables import Settings, corpus, read_splits, whole_texts, write_aliases, write_report, write_reports, write_splits
 
 
@@ -34,6 +34,13 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--out", help="folder for the records; without it they are printed, as for a single text")
     a = p.parse_args(argv)
     spark = session()
+    try:
+        return run(spark, a)
+    finally:
+        clean(spark)
+
+
+def run(spark: SparkSession, a: argparse.Namespace) -> int:
     ship(spark)
     st = Settings.load(a.config)
     if getattr(a, "skip_embeddings", False):

@@ -475,10 +475,13 @@ def top_k_pairs(spark, d):
 
 @query
 def predict_struct(spark, d):
-    """Prediction records with a map and an array of structs, as JSON."""
+    """Prediction records; the map of class probabilities and the alternatives as text, in ten-thousandths."""
     _, _, t1, t2 = _tiers(spark, d)
     r = D.as_structs(D.decode(t1, t2, 0.5), t1, D.top_k(t1, t2, 3, 0.5))
-    return r.select("row_id", F.to_json(F.struct(*[c for c in r.columns if c != "row_id"])).alias("record"))
+    n = lambda x: F.round(x * 10000).cast("bigint").cast("string")
+    probs = F.array_join(F.array_sort(F.transform(F.map_entries("industry_probabilities"), lambda e: F.concat(e["key"], F.lit("="), n(e["value"])))), ",")
+    alts = F.array_join(F.transform("alternatives", lambda x: F.concat(x["industry"], F.lit("/"), F.coalesce(x["sub_tag"], F.lit("")), F.lit("="), n(x["score"]))), ",")
+    return r.select("row_id", "industry", "sub_tag", "industry_confidence", "sub_tag_confidence", probs.alias("probabilities"), alts.alias("alternatives"))
 
 
 @query

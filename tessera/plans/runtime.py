@@ -6,14 +6,17 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def session(app: str = "tessera", cores: str = "*", **conf: str) -> SparkSession:
     """A session with the settings the plans expect; existing sessions are reused."""
+    b = SparkSession.builder
+    if not SparkConf().contains("spark.master"):  # else as submitted
+        b = b.master(f"local[{cores}]")
     b = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        b.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -27,10 +30,12 @@ def session(app: str = "tessera", cores: str = "*", **conf: str) -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local session without it gets a folder of its own; any other is refused."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
         sc.setCheckpointDir(named)
@@ -38,15 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path inside the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A fresh path inside the shared folder, under one folder a session."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the session's intermediate tables; for the end of a session, as results read them."""
+    delete(spark, f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage and survives the loss of any executor. The table is left in the shared folder,
-    whose owner cleans it.
+    Cuts the lineage and survives the loss of any executor. ``clean`` deletes the session's tables.
     """
     path = scratch(df.sparkSession, name)
     w = df.write.option("compression", codec)
