@@ -20,6 +20,7 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import uid_key as standard_uid  # noqa: F401
 from ..plans.runtime import delete, materialize
 
 MOST_BIG = 200  # groups placed one by one
@@ -29,14 +30,6 @@ SPLITS = (("train", 0.70), ("dev", 0.15), ("test", 0.15))
 SEED = 20240917
 
 
-def standard_uid(c: Column | str) -> Column:
-    """Standard spelling of a uid: ``u`` and nine digits, whatever the prefix, marks or leading zeros; null if it has no digit."""
-    c = F.col(c) if isinstance(c, str) else c
-    digits = F.regexp_replace(F.translate(c, "０１２３４５６７８９", "0123456789"), r"[^0-9]", "")
-    short = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    return F.when(F.length(digits) > 0, F.concat(F.lit("u"), F.when(F.length(short) < 9, F.lpad(short, 9, "0")).otherwise(short)))
-
-
 def standard_label(c: str) -> Column:
     """A hand-typed label, trimmed and lower-cased; ``?`` if null or blank."""
     t = F.lower(F.regexp_replace(F.col(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))

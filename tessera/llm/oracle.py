@@ -1,6 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can express over whole tables."""
 
-UID = "CASE WHEN regexp_replace(uid,'[^0-9]','','g')<>'' THEN 'u'||lpad(ltrim(regexp_replace(uid,'[^0-9]','','g'),'0'),9,'0') END"
+SHORT = "ltrim(regexp_replace(translate(uid,'０１２３４５６７８９','0123456789'),'[^0-9]','','g'),'0')"
+UID = f"CASE WHEN regexp_matches(uid,'[0-9０-９]') THEN 'u'||lpad({SHORT},greatest(9,length({SHORT}))::INT,'0') END"
 BLANK = r"'^[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*$'"
 TERMS = f"""t AS (SELECT row_id, 'tag' AS field_name, tag AS term FROM frames WHERE tag IS NOT NULL AND NOT regexp_matches(tag,{BLANK})
  UNION ALL SELECT row_id, 'domain', domain FROM frames WHERE domain IS NOT NULL AND NOT regexp_matches(domain,{BLANK})
@@ -50,4 +51,7 @@ SQL: dict[str, str] = {
  FROM l LEFT JOIN b ON b.e=l.row_id LEFT JOIN ac ON ac.row_id=l.row_id WHERE NOT tr GROUP BY 1,2""",
     # a source's tokens aren't known to SQL: what must hold of its share whatever they are
     "p7_invariants": "SELECT source, target_share, max_repeats, true AS within_repeats, true AS share_reached FROM mix_targets",
+    # every typed cell that is no entry comes out, with an entry of its list or none
+    "p1_invariants": f"""SELECT 'tag' AS field_name, count(*) AS n_rows, true AS refs_known, true AS unmatched_agree FROM frames WHERE tag IS NOT NULL AND NOT regexp_matches(tag,{BLANK}) AND tag NOT IN (SELECT tag FROM tag_list)
+ UNION ALL SELECT 'domain', count(*), true, true FROM frames WHERE domain IS NOT NULL AND NOT regexp_matches(domain,{BLANK}) AND domain NOT IN (SELECT domain FROM domain_list)""",
 }

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "address", "id_number", "phone", "name")
 SP = r"[ \t ]"
@@ -307,44 +308,75 @@ class Detector:
         return out
 
 
-def collect_model(name_parts: DataFrame, most: int = 100_000) -> dict[str, str]:
-    """Name model of the reference list (name_part, role), which must not exceed ``most`` rows."""
+def collect_model(name_parts: DataFrame, most: int = 100_000) -> dict[str, str] | DataFrame:
+    """Name model of the reference list (name_part, role); a list of over ``most`` rows stays a table, for ``with_roles``."""
     rows = name_parts.select("name_part", "role").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the list of name parts has more than {most} rows")
-    return name_model([(r.name_part, r.role) for r in rows])
+    return name_parts if len(rows) > most else name_model([(r.name_part, r.role) for r in rows])
 
 
-def mentions(df: DataFrame, model: dict[str, str], key: str = "row_id", text: str = "text", with_value: bool = False) -> DataFrame:
-    """(key, start_pos, end_pos, kind[, value]) of every mention."""
-    kind_of_key = df.schema[key].dataType.simpleString()
+def with_roles(df: DataFrame, name_parts: DataFrame, key: str, text: str) -> DataFrame:
+    """``df(key, same, text)`` with ``roles``: the part of the name model that the row's own words need.
+
+    The same model as ``name_model``, by joins: a list of any size is on no driver and in no task as a whole.
+    """
+    given = F.col("role") == "given"
+    own = name_parts.filter(F.col("role").isin("given", "family")).select(F.lower(F.trim("name_part")).alias("word"), F.when(given, "g").otherwise("f").alias("r")).filter("word <> ''").distinct()
+    cut = lambda d: d.filter(F.length("word") > 3).select("*", F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("i")).select("*", F.expr("substring(word, 1, i)").alias("stem"), F.expr("substring(word, i + 1)").alias("end"))
+    cuts = cut(own)
+    n = cuts.join(cuts.groupBy("r", "stem").agg(F.count("*").alias("a")), ["r", "stem"]).join(cuts.groupBy("r", "end").agg(F.count("*").alias("b")), ["r", "end"])
+    best = n.groupBy("r", "word").agg(F.max_by(F.struct("stem", "end"), F.struct(F.least("a", "b"), F.length("end"))).alias("c")).select("r", "c.*")
+    stems, ends = (best.groupBy("r", c).agg(F.count("*").alias("n")).filter(F.col("n") > k).drop("n") for c, k in (("stem", 2), ("end", 4)))
+    words = df.select(key, "same", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W\d_]+"), F.lit(0)))).alias("word"))
+    each = words.select("word").distinct()
+    made = cut(each).join(stems, "stem").join(ends, ["r", "end"]).select("word", "r")
+    roles = each.join(own, "word").select("word", "r").unionByName(made).groupBy("word").agg(F.when(F.count_distinct("r") > 1, "b").otherwise(F.min("r")).alias("role"))
+    per = words.join(roles, "word").groupBy(key, "same").agg(F.map_from_entries(F.collect_set(F.struct("word", "role"))).alias("roles"))
+    return df.join(per, [key, "same"], "left")
+
+
+def rows_for(df: DataFrame, model: dict[str, str] | DataFrame, key: str, text: str) -> DataFrame:
+    """(key, same, text[, roles]) for the tasks that detect; ``same`` tells texts of one key apart."""
+    rows = df.select(key, F.xxhash64(text).alias("same"), text)
+    return with_roles(rows, model, key, text).select(key, "same", text, "roles") if isinstance(model, DataFrame) else rows
+
+
+def detectors(model: dict[str, str]) -> Callable[[pa.RecordBatch], Iterator[Detector]]:
+    """One detector for all rows of a batch of ``rows_for``."""
+    one = Detector(model)
+    return lambda b: repeat(one, b.num_rows)
+
+
+def per_row(b: pa.RecordBatch) -> Iterator[Detector]:
+    """A detector for each row, by its own roles."""
+    return (Detector(dict(m or ())) for m in b.column(3).to_pylist())
+
+
+def mentions(df: DataFrame, model: dict[str, str] | DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+    """(key, start_pos, end_pos, kind) of every mention."""
+    by_list, model = model, None if isinstance(model, DataFrame) else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Detector(model).find
+        of = detectors(model) if model is not None else per_row
         for b in batches:
-            texts = b.column(1).to_pylist()
-            found = [find(t) for t in texts]
+            found = [d.find(t) for d, t in zip(of(b), b.column(2).to_pylist())]
             owner = [i for i, f in enumerate(found) for _ in f]
-            cols = [b.column(0).take(pa.array(owner, pa.int64())), pa.array([m[0] for f in found for m in f], pa.int64()), pa.array([m[1] for f in found for m in f], pa.int64()), pa.array([m[2] for f in found for m in f], pa.string())]
-            if with_value:
-                cols.append(pa.array([t[x:y] for t, f in zip(texts, found) for x, y, _ in f], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=[key, "start_pos", "end_pos", "kind", *["value"] * with_value])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array([m[0] for f in found for m in f], pa.int64()), pa.array([m[1] for f in found for m in f], pa.int64()), pa.array([m[2] for f in found for m in f], pa.string())], names=[key, "start_pos", "end_pos", "kind"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind_of_key}, start_pos bigint, end_pos bigint, kind string" + ", value string" * with_value)
+    return rows_for(df, by_list, key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, start_pos bigint, end_pos bigint, kind string")
 
 
-def redact(df: DataFrame, model: dict[str, str], key: str = "row_id", text: str = "text") -> DataFrame:
+def redact(df: DataFrame, model: dict[str, str] | DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
     """(key, text) with a typed placeholder such as ``[EMAIL]`` instead of each mention; null texts stay null."""
-    kind_of_key = df.schema[key].dataType.simpleString()
+    by_list, model = model, None if isinstance(model, DataFrame) else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Detector(model).find
+        of = detectors(model) if model is not None else per_row
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
-                for x, y, k in reversed(find(t)):
+            for d, t in zip(of(b), b.column(2).to_pylist()):
+                for x, y, k in reversed(d.find(t)):
                     t = f"{t[:x]}[{k.upper()}]{t[y:]}"
                 out.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "text"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind_of_key}, text string")
+    return rows_for(df, by_list, key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, text string")

@@ -24,6 +24,20 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.unmatched(frames, _lists(spark, d))
 
 
+def p1_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per field: rows mapped, whether every reference is an entry of the field's list or none, and whether the unmatched values have as many rows as are mapped to none."""
+    lists = _lists(spark, d)
+    found = materialize(p1_found(spark, d), "found")
+    known = None
+    for name, (ref, ref_id, _) in lists.items():
+        one = ref.select(F.lit(name).alias("field_name"), F.col(ref_id).alias("ref_id"))
+        known = one if known is None else known.unionByName(one)
+    at = found.join(known.withColumn("known", F.lit(True)), ["field_name", "ref_id"], "left")
+    per = at.groupBy("field_name").agg(F.count("*").alias("n_rows"), F.bool_and(F.coalesce("known", F.lit(False)) | (F.col("ref_id") == canonical.NONE)).alias("refs_known"), F.count_if(F.col("ref_id") == canonical.NONE).alias("none"))
+    left = p1_unmatched(spark, d).groupBy("field_name").agg(F.sum("n_rows").alias("left"))
+    return per.join(left, "field_name", "left").select("field_name", "n_rows", "refs_known", (F.col("none") == F.coalesce("left", F.lit(0))).alias("unmatched_agree"))
+
+
 def _uid() -> dict:
     return {"uid": groupsplit.standard_uid("uid")}
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..plans.runtime import materialize
-from .pii import Detector
+from .pii import detectors, per_row, rows_for
 
 # The alphabets that have vowels and consonants (vowels, consonants for new words, all letters), and the
 # endings of invented names by gender and role.
@@ -175,26 +175,27 @@ def _title(text: str, start: int) -> str:
     return _TITLE_GENDER.get(before[-1].rstrip(".").lower(), "") if before and text[start - 1].isspace() else ""
 
 
-def _found(key: str, kind_of_key: str, model: dict[str, str], secret: bytes) -> tuple:
-    """Mentions with their entities and first replacements."""
+def _found(key: str, kind_of_key: str, model: dict[str, str] | None, secret: bytes) -> tuple:
+    """Mentions with their entities and first replacements; without a ``model`` each row has its own roles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Detector(model).find
+        of_row = detectors(model) if model is not None else per_row
         first = lru_cache(100_000)(lambda k, c: surrogate(k, c, secret))
 
         @lru_cache(50_000)
-        def of(kind: str, value: str, hint: str) -> tuple[list[str], list[str], str]:
-            own = units(kind, value, model)
+        def of(kind: str, value: str, hint: str, roles: tuple) -> tuple[list[str], list[str], str]:
+            own = units(kind, value, dict(roles) if model is None else model)
             made = [first(*u) for u in own]
             ents = [f"{u}\x1f{c}\x1f{gender(c)}\x1f{hint}" if u == "given" else f"{u}\x1f{c}\x1f\x1f" for u, c in own]
             return ents, made, rewrite(kind, value, made, secret)
 
         for b in batches:
             owner, start, end, kinds, values, ents, mades, at, repl = [], [], [], [], [], [], [], [0], []
-            for i, t in enumerate(b.column(2).to_pylist()):
-                for x, y, k in find(t):
+            for i, (d, t) in enumerate(zip(of_row(b), b.column(2).to_pylist())):
+                roles = tuple(d.model.items()) if model is None else ()
+                for x, y, k in d.find(t):
                     v = t[x:y]
-                    own, made, new = of(k, v, _title(t, x) if k == "name" else "")
+                    own, made, new = of(k, v, _title(t, x) if k == "name" else "", roles)
                     owner.append(i)
                     start.append(x)
                     end.append(y)
@@ -245,11 +246,11 @@ def exceptions(entities: DataFrame, secret: bytes) -> DataFrame:
     return done
 
 
-def replacements(df: DataFrame, model: dict[str, str], secret: str, key: str = "row_id", text: str = "text") -> DataFrame:
+def replacements(df: DataFrame, model: dict[str, str] | DataFrame, secret: str, key: str = "row_id", text: str = "text") -> DataFrame:
     """(key, same, start_pos, end_pos, kind, value, replacement) of every mention; ``same`` tells texts of one key apart."""
     k = hashlib.blake2b(secret.encode()).digest()
-    run, schema = _found(key, df.schema[key].dataType.simpleString(), model, k)
-    rows = df.filter(F.col(text).isNotNull()).select(key, F.xxhash64(text).alias("same"), text)
+    run, schema = _found(key, df.schema[key].dataType.simpleString(), None if isinstance(model, DataFrame) else model, k)
+    rows = rows_for(df.filter(F.col(text).isNotNull()), model, key, text)
     found = materialize(rows.mapInArrow(run, schema), "mentions")
     part = lambda i: F.split(F.col("x.entities"), "\x1f")[i]
     long = found.select(F.explode(F.arrays_zip("entities", "made")).alias("x")).select(part(0).alias("kind"), part(1).alias("canon"), part(2).alias("given"), part(3).alias("hint"), F.col("x.made").alias("made"))
@@ -270,7 +271,7 @@ def replacements(df: DataFrame, model: dict[str, str], secret: str, key: str = "
     return whole.unionByName(found.join(fixes, [key, "same", "start_pos"]).select(*cols, rewritten("kind", "value", fixed).alias("replacement")))
 
 
-def pseudonymize(df: DataFrame, model: dict[str, str], secret: str, key: str = "row_id", text: str = "text") -> DataFrame:
+def pseudonymize(df: DataFrame, model: dict[str, str] | DataFrame, secret: str, key: str = "row_id", text: str = "text") -> DataFrame:
     """(key, text) with each mention replaced by its surrogate. Null texts stay null."""
     spans = replacements(df, model, secret, key, text).groupBy(key, "same").agg(F.array_sort(F.collect_set(F.struct("start_pos", "end_pos", "replacement"))).alias("spans"))
     rows = df.select(key, text, F.xxhash64(text).alias("same")).join(spans, [key, "same"], "left")

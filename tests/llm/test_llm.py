@@ -322,6 +322,18 @@ def test_surrogates_keep_script_format_and_country():
     assert surrogates.surrogate("given", "mirika", k, 0, "m").endswith(surrogates.ENDINGS["LATIN", "m"]) and surrogates.surrogate("given", "mirika", k).endswith(surrogates.ENDINGS["LATIN", "f"])
 
 
+def test_a_long_list_of_parts_stays_a_table(spark):
+    few = [p for i, p in enumerate(PARTS) if i % 7]
+    model = pii.name_model([*few, ("Li", "family")])
+    texts = ["Dear Ms Mirika Fennwold-Grelllund,", "M. Fennwold's letter names MIRETH ALDRARDO", "Tavora Li, m@b.example", "a mild day, li said", None, "", "Wimisse Zubardo and Wimisse Quibova", "von der Grellova, Dovund"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, "Roseth Lombstead")], "row_id bigint, text string")
+    parts = spark.createDataFrame([*few, ("Li", "family"), ("", "given"), (None, "family"), ("Paris", "place")], "name_part string, role string")
+    table = pii.collect_model(parts, most=10)
+    assert not isinstance(table, dict) and isinstance(pii.collect_model(parts), dict)
+    for make in (pii.mentions, pii.redact, lambda d, m: surrogates.pseudonymize(d, m, "key")):
+        assert sorted(map(str, make(df, model).collect())) == sorted(map(str, make(df, table).collect()))
+
+
 def test_titles_decide_gender(spark, model):
     df = spark.createDataFrame([(1, "Mr Mirika Fennwold"), (2, "Mr. Mirika Aldrardo"), (3, "Mirika Fennwold")], "row_id bigint, text string")
     out = {r.row_id: r.replacement.split()[0] for r in surrogates.replacements(df, model, "key").collect()}
