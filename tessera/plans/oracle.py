@@ -208,6 +208,7 @@ SQL: dict[str, str] = {
     "merge_clusters": f"{MERGE} SELECT * FROM mg",
     "merge_aliases": f"{MERGE} SELECT threshold, top, tag, canonical FROM mg WHERE tag<>canonical",
     "threshold_sweep": f"{MERGE}, {P}, {V}, {GPONLY}, z AS (SELECT threshold, count(*) AS tags_before, count(DISTINCT top||chr(9)||canonical) AS tags_after FROM mg GROUP BY 1), y AS (SELECT t AS threshold, round(avg((coalesce(a.canonical,gold)=coalesce(b.canonical,pred))::INT::DOUBLE),6) AS accuracy FROM gp, th LEFT JOIN mg a ON a.threshold=t AND a.top=gp.top AND a.tag=gold LEFT JOIN mg b ON b.threshold=t AND b.top=gp.top AND b.tag=pred GROUP BY 1) SELECT threshold, tags_before, tags_after, accuracy FROM z JOIN y USING (threshold)",
+    "recommended_threshold": f"{MERGE}, {P}, {V}, {GPONLY}, z AS (SELECT threshold, count(*) AS tags_before, count(DISTINCT top||chr(9)||canonical) AS tags_after FROM mg GROUP BY 1), y AS (SELECT t AS threshold, round(avg((coalesce(a.canonical,gold)=coalesce(b.canonical,pred))::INT::DOUBLE),6) AS accuracy FROM gp, th LEFT JOIN mg a ON a.threshold=t AND a.top=gp.top AND a.tag=gold LEFT JOIN mg b ON b.threshold=t AND b.top=gp.top AND b.tag=pred GROUP BY 1) SELECT threshold, tags_before, tags_after, accuracy FROM z JOIN y USING (threshold) WHERE accuracy>=(SELECT avg((gold=pred)::INT::DOUBLE) FROM gp)+0.01::DOUBLE ORDER BY accuracy DESC, threshold LIMIT 1",
     "prediction_affinity": f"WITH {GP}, k AS (SELECT top, gold, pred, count(*) AS n FROM gp GROUP BY 1,2,3), s AS (SELECT top, gold AS tag, count(*) AS s FROM gp GROUP BY 1,2), u AS (SELECT top, least(gold,pred) AS tag_a, greatest(gold,pred) AS tag_b, sum(n) AS n FROM k WHERE gold<>pred GROUP BY 1,2,3) SELECT u.top, tag_a, tag_b, round(n/greatest(coalesce(a.s,0)+coalesce(b.s,0),1),6) AS affinity FROM u LEFT JOIN s a ON a.top=u.top AND a.tag=tag_a LEFT JOIN s b ON b.top=u.top AND b.tag=tag_b",
     "predict_struct": f"WITH {TIER}{JOINT}, s AS (SELECT *, {joint('0.5::DOUBLE')} AS score FROM al), w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, {TOPIDX})=1), pr AS (SELECT row_id, string_agg(top||'='||round(round(exp(lp),4)*10000)::BIGINT, ',' ORDER BY top||'='||round(round(exp(lp),4)*10000)::BIGINT) AS probabilities FROM t1 GROUP BY 1), a AS (SELECT t1.row_id, t1.top, tag_idx, tag, t1.lp+0.5::DOUBLE*t2.lp AS score FROM t1 JOIN t2 USING (row_id,top) WHERE t1.top<>'other' UNION ALL SELECT row_id, top, -1, NULL, lp FROM t1 WHERE top='other'), k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, {TOPIDX}, tag_idx) AS rank FROM a QUALIFY rank<=3), ka AS (SELECT row_id, string_agg(top||'/'||coalesce(tag,'')||'='||round(round(score,4)*10000)::BIGINT, ',' ORDER BY rank) AS alternatives FROM k GROUP BY 1) SELECT row_id, top AS industry, tag AS sub_tag, round(exp(lp),4) AS industry_confidence, CASE WHEN top<>'other' THEN round(exp(tlp),4) END AS sub_tag_confidence, probabilities, alternatives FROM w JOIN pr USING (row_id) JOIN ka USING (row_id)",
 }

@@ -596,6 +596,14 @@ def threshold_sweep(spark, d):
     return M.sweep(_gold_pred(spark, d), _merged(spark, d))
 
 
+@query
+def recommended_threshold(spark, d):
+    """The merging threshold of greatest accuracy among those that gain one in a hundred on the delivered predictions."""
+    gp = materialize(_gold_pred(spark, d), "pairs")
+    raw = gp.agg(F.avg((F.col("gold") == F.col("pred")).cast("double"))).first()[0] or 0.0
+    return M.recommended(M.sweep(gp, _merged(spark, d)), raw)
+
+
 def _length_alias(spark, d):
     """A simple alias table: each tag of tag_pairs maps to the greater of its confused partners."""
     p = tables(spark, d, "tag_pairs")[0].filter(F.col("n_confused") >= 10)

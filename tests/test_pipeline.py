@@ -120,3 +120,23 @@ def test_settings(tmp_path, monkeypatch):
         S.Settings.load(str(f))
     monkeypatch.setenv("TESSERA_ARTIFACTS", "/x")
     assert S.Settings().path("models", "a") == "/x/models/a"
+
+
+def test_text_files_are_told_apart(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}\nof two lines")
+    rows = S.whole_texts(spark, str(tmp_path)).collect()
+    assert len({r.path for r in rows}) == 3 and {r.text for r in rows} == {f"text {i}\nof two lines" for i in range(3)}
+    S.write_text(spark, str(tmp_path / "x" / "a.json"), "é")
+    assert S.read_text(spark, str(tmp_path / "x" / "a.json")) == "é" and S.read_text(spark, str(tmp_path / "none")) is None
+
+
+def test_shared_folder_is_asked_for():
+    from types import SimpleNamespace
+
+    from tessera.plans import runtime
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getConf=lambda: conf, master="yarn")
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(SimpleNamespace(sparkContext=sc, conf=conf))
