@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
@@ -16,23 +18,26 @@ TOLERANCE = 1e-6
 
 def assemble(vocab: DataFrame, docs: DataFrame, scores: dict[str, DataFrame], key: str = "row_id", most: int = 100_000) -> DataFrame:
     """(key, top, tag_idx, one column a channel): every document against every tag of every industry; missing scores are 0.
-    The label space has at most ``most`` tags.
+    The tags are broadcast in blocks of about ``most``, each of which all documents meet.
 
     Only the scores there are get shuffled, once and by document; the full grid is laid out after it and stays
     partitioned by ``key``, so that windows and groups by document don't shuffle it either.
     """
-    if vocab.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} tags")
-    listed = vocab.select(F.struct("top", "tag_idx").alias("p")).agg(F.collect_list("p").alias("ps"))
     long = docs.select(key, F.lit(None).cast("string").alias("n"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("int").alias("i"), F.lit(0.0).alias("s"))
     for name, s in scores.items():
         s = s.join(docs.select(key), key, "left_semi")
         long = long.unionByName(s.select(key, F.lit(name).alias("n"), "top", F.col("tag_idx").cast("int").alias("i"), F.col("score").cast("double").alias("s")))
     entry = lambda n: F.collect_list(F.when(F.col("n") == n, F.struct(F.struct("top", "i"), "s")))
     per = long.groupBy(key).agg(*[F.map_from_entries(entry(n)).alias(n) for n in scores])
-    grid = per.join(F.broadcast(listed)).select(key, F.explode("ps").alias("p"), *scores)
     at = F.struct(F.col("p.top").alias("top"), F.col("p.tag_idx").cast("int").alias("i"))
-    return grid.select(key, "p.top", "p.tag_idx", *[F.coalesce(F.try_element_at(n, at), F.lit(0.0)).alias(n) for n in scores])
+    blocks = max(1, math.ceil(vocab.count() / most))
+    out = None
+    for k in range(blocks):
+        listed = vocab.filter(F.pmod(F.xxhash64("top", "tag_idx"), F.lit(blocks)) == k).select(F.struct("top", "tag_idx").alias("p")).agg(F.collect_list("p").alias("ps"))
+        grid = per.join(F.broadcast(listed)).select(key, F.explode("ps").alias("p"), *scores)
+        one = grid.select(key, "p.top", "p.tag_idx", *[F.coalesce(F.try_element_at(n, at), F.lit(0.0)).alias(n) for n in scores])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def zscores(df: DataFrame, names: list[str], by: list[str]) -> DataFrame:

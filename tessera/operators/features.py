@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,12 +118,16 @@ def mean_vectors(df: DataFrame, by: str, vec: str) -> DataFrame:
 def prototype_scores(docs: DataFrame, prototypes: DataFrame, key: str, vec: str, by: str, most: int = 100_000) -> DataFrame:
     """(key, by, score): every document against every prototype of the label space.
 
-    The prototypes are one row a label; they are broadcast after a check that there are at most ``most``.
+    The prototypes are one row a label; they are broadcast in blocks of about ``most``, each of which all documents meet.
     """
-    if prototypes.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} prototypes")
-    listed = prototypes.select(F.struct(F.col(by).alias("by"), F.col("vector").alias("v")).alias("p")).agg(F.collect_list("p").alias("ps"))
-    return docs.select(key, vec).join(F.broadcast(listed)).select(key, vec, F.explode("ps").alias("p")).select(key, F.col("p.by").alias(by), dot(vec, "p.v").alias("score"))
+    blocks = max(1, math.ceil(prototypes.count() / most))
+    out = None
+    for k in range(blocks):
+        part = prototypes.filter(F.pmod(F.xxhash64(by), F.lit(blocks)) == k)
+        listed = part.select(F.struct(F.col(by).alias("by"), F.col("vector").alias("v")).alias("p")).agg(F.collect_list("p").alias("ps"))
+        one = docs.select(key, vec).join(F.broadcast(listed)).select(key, vec, F.explode("ps").alias("p")).select(key, F.col("p.by").alias(by), dot(vec, "p.v").alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def hashed_embedding(df: DataFrame, text: str = "text", size: int = 64, chars: int = 2000, key: str = "row_id") -> DataFrame:

@@ -154,3 +154,47 @@ def test_none_is_a_hit(spark):
     assert metrics.accuracy_at_target(curve, 0.99).first().coverage == 0.6667
     assert metrics.accuracy_at_target(curve, 1.1).count() == 0
     assert metrics.headline(c.filter("false")).first().exact_all == 0.0
+
+
+def test_blocks_of_labels_change_nothing(spark):
+    docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "row_id bigint, v array<double>")
+    protos = spark.createDataFrame([(f"l{i}", [1.0, float(i)]) for i in range(7)], "label string, vector array<double>")
+    one, many = (sorted(map(tuple, features.prototype_scores(docs, protos, "row_id", "v", "label", n).collect())) for n in (100, 2))
+    assert one == many and len(one) == 35
+    vocab = spark.createDataFrame([("finance", i, f"t{i}") for i in range(6)], "top string, tag_idx int, tag string")
+    score = {"heading": spark.createDataFrame([(1, "finance", 3, 0.5)], "row_id bigint, top string, tag_idx int, score double")}
+    one, many = (sorted(map(tuple, ensemble.assemble(vocab, docs, score, most=n).collect())) for n in (100, 2))
+    assert one == many and len(one) == 30 and sum(r[3] for r in one) == 0.5
+
+
+def test_mean_pooling(spark):
+    def encode():
+        import numpy as np
+
+        def model(texts):
+            n = max(map(len, texts), default=1) or 1
+            vec, mask = np.zeros((len(texts), n, 2)), np.zeros((len(texts), n))
+            for i, t in enumerate(texts):
+                for j, c in enumerate(t):
+                    vec[i, j], mask[i, j] = (1.0, 0.0) if c == "a" else (0.0, 1.0), 1
+            return vec, mask
+
+        return model
+
+    df = spark.createDataFrame([(1, "ab"), (2, "aaaa"), (3, ""), (4, None)], "row_id bigint, text string")
+    got = {r.row_id: r.embedding for r in features.pooled_embedding(df, encode).collect()}
+    assert got[1] == pytest.approx([0.5**0.5, 0.5**0.5]) and got[2] == [1.0, 0.0] and got[3] == got[4] == [0.0, 0.0]
+
+
+def test_ranks_over_ranges(spark):
+    from tessera.plans.runtime import ranked
+
+    df = spark.createDataFrame([(i, i % 3) for i in range(50)], "k bigint, c int")
+    got = [(r.c, r.k, r["rank"]) for r in ranked(df, [F.desc("c"), F.col("k")]).collect()]
+    assert sorted(got, key=lambda x: x[2]) == [(c, k, i + 1) for i, (c, k) in enumerate(sorted(((i % 3, i) for i in range(50)), key=lambda x: (-x[0], x[1])))]
+    assert ranked(df.filter("false"), [F.col("k")]).count() == 0
+
+
+def test_features_beyond_the_limit(spark):
+    tf = spark.createDataFrame([(d, t, n) for d in range(4) for t, n in (("a", 9), ("b", 5), ("c", 5), ("d", 5), ("e", 1))], "row_id bigint, term string, tf bigint")
+    assert sorted(r.term for r in features.fit(tf, 4, 1, 3).collect()) == ["a", "b", "c"] and features.fit(tf, 4, 1, 9).count() == 5
