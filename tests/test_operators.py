@@ -104,12 +104,6 @@ def test_weight_search_finds_the_useful_channel(spark):
     assert w["good"].accuracy == 1.0 and w["good"].weight > 0
 
 
-def test_prototypes_are_bounded(spark):
-    e = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "k int, vector array<double>")
-    with pytest.raises(ValueError):
-        features.prototype_scores(e.withColumnRenamed("vector", "v"), e, "k", "v", "k", most=2)
-
-
 # merging
 def graph(spark, edges, n=5):
     e = spark.createDataFrame([("finance", a, b, w) for a, b, w in edges], "top string, tag_a string, tag_b string, affinity double")
