@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tessera.functions import text as X
-from tessera.operators import counting as CO
+from tessera.operators import counting as CO, features as FE
 from tessera.plans.queries import Q
 from tessera.plans.runtime import shared_dir
 
@@ -95,3 +95,25 @@ def test_pairs_stop_at_the_end_of_a_text(spark):
     docs = CO.documents(spark.createDataFrame([(1, "one two"), (1, "two three"), (2, "one two")], "row_id bigint, text string"), X.words, 2500)
     got = {r.term: r.df for r in CO.fit(docs, CO.pairs, 3, min_df=1).collect()}
     assert got == {"one": 2, "two": 2, "three": 1, "one two": 2, "two three": 1}
+
+
+def test_rocchio_writes_no_terms_of_documents(spark, data):
+    frames = spark.read.parquet(f"{data}/frames.parquet")
+    n = FE.term_counts(frames, FE.word_terms()).count()
+    new = written(spark, lambda: Q["rocchio_scores"](spark, data).count())
+    assert new and max(new.values()) < n / 2
+
+
+@pytest.mark.parametrize("cells", [1, 24_000_000])
+def test_scores_in_blocks_of_labels(spark, monkeypatch, cells):
+    monkeypatch.setattr(CO, "DENSE_CELLS", cells)
+    rows = [(1, "one two three", [0]), (1, "two four", [1, 1]), (2, "one two", None), (3, "", [2]), (None, "two", [1]), (5, "three two one", [1]), (6, "unlike", None)]
+    df = spark.createDataFrame(rows, "row_id bigint, text string, own array<int>")
+    docs = CO.documents(df, X.words, 2500, labels="own")
+    got = CO.Centroids(docs, CO.pairs, CO.fit(docs, CO.pairs, len(rows), min_df=1), 4)
+    tf = FE.term_counts(df, FE.word_terms())
+    w = FE.transform(tf, FE.fit(tf, len(rows), min_df=1))
+    cents = FE.centroids(w, df.selectExpr("row_id", "explode(own) AS label"))
+    near = lambda t, k: {tuple(r)[:2]: pytest.approx(r[2]) for r in t.select("label" if k else "row_id", "term" if k else "label", "c" if k else "score").collect()}
+    assert near(got.table().withColumnRenamed("label_id", "label"), True) == {k: v.expected for k, v in near(cents, True).items()}
+    assert near(got.scores().withColumnRenamed("label_id", "label"), False) == {k: v.expected for k, v in near(FE.centroid_scores(w, cents), False).items()}
