@@ -22,7 +22,7 @@ KINDS = ("email", "address", "id_number", "phone", "name")
 SP = r"[ \t ]"
 
 # --- e-mail addresses -----------------------------------------------------------------------------------------------
-_AT = re.compile(r"@|[\[({<]\s?[aA][tT]\s?[\])}>]")
+_AT = re.compile(r"[@\[({<](?:(?<=@)|\s?[aA][tT]\s?[\])}>])")  # begins with a set of characters, which a search skips to
 _AT_WORD = re.compile(r"(?<=\w)\s[aA][tT]\s(?=[\w-]+\s(?:[dD][oO][tT])\s)")
 _LOCAL_MARKS = frozenset(".+%'’-_")
 _DOT = rf"(?:\.|{SP}?[\[({{]\s?[dD][oO][tT]\s?[\])}}]{SP}?|{SP}[dD][oO][tT]{SP})"
@@ -43,24 +43,30 @@ _FIRST = r"(?:Lower|Upper|Port|New|Old|North|South|East|West|Great|Little|Saint|
 _EU = rf"{_GAP}\d{{5}}{SP}{{1,2}}(?:{_FIRST}{SP}(?-i:(?=[^\W\d_a-zà-ÿ])))?[^\W\d_]\w+(?:-\w+)*(?:{SP}{_SECOND}\b)?"
 _FLAT = re.compile(rf"(?<!\w)Flat{SP}\d+\w?,?{SP}\Z", re.IGNORECASE)
 _LETTER = re.compile(r"[^\W\d_]")
-_ADDRESSES = tuple(  # (words of which one must occur, pattern)
-    (words, re.compile(p, re.IGNORECASE))
-    for words, p in (
-        (("box", "p.o"), rf"(?<!\w)P\.?{SP}?O\.?{SP}?Box{SP}\d+(?:{_US}|{_UK})?"),
+#: How a house number before a street begins.
+_HOUSE = re.compile(rf"\d(?<![\w#/.]\d)\d{{0,4}}[A-Za-z]?,?{SP}{{1,2}}(?=[^\W\d_])", re.IGNORECASE)
+_ADDRESSES = tuple(  # (words of which one must occur, words at one of which the pattern begins, else at a house number or None: anywhere behind "box"; pattern)
+    (words, at, re.compile(p, re.IGNORECASE))
+    for words, at, p in (
+        (("box", "p.o"), None, rf"(?<!\w)P\.?{SP}?O\.?{SP}?Box{SP}\d+(?:{_US}|{_UK})?"),
         (
             ("rue ", "avenue ", "chemin ", "place ", "boulevard ", "impasse ", "allée ", "quai ", "route ", "cours "),
+            (),
             rf"(?<![\w#/.])\d{{1,4}}(?:{SP}(?:bis|ter|quater)\b)?,?{SP}{{1,2}}(?:rue|avenue|chemin|place|boulevard|impasse|allée|quai|route|cours){SP}(?:(?:des|du|de{SP}la|de|d['’]){SP})?{_N}(?:{SP}(?-i:[A-ZÀ-Ý])[\w'’-]*)?(?:{_EU})?",
         ),
         (
             ("calle ", "c/", "avda", "avenida ", "plaza ", "paseo ", "camino "),
+            ("calle", "c/", "avda", "avenida", "plaza", "paseo", "camino"),
             rf"(?<!\w)(?:C/|Calle\b|Avda\b\.?|Avenida\b|Plaza\b|Paseo\b|Camino\b){SP}(?:(?:del|de{SP}la|de{SP}los|de{SP}las|de){SP})?{_N}(?:{SP}{_N})?,?{SP}\d{{1,4}}\b(?:,{SP}?(?:bajo\b|ático\b|\d{{1,2}}\.?{SP}?[ºª°o]{SP}?\w?\b))?(?:{_EU})?",
         ),
         (
             ("straße ", "strasse ", "gasse ", "allee ", "weg ", "platz ", "ufer ", "ring ", "damm ", "postfach "),
+            ("straße", "strasse", "gasse", "allee", "weg", "platz", "ufer", "ring", "damm", "postfach"),
             rf"(?:(?<=[^\W\d_])(?:straße|strasse|gasse|allee|weg|platz|ufer|ring|damm)|(?<!\w)Postfach){SP}\d{{1,4}}(?:{SP}?[a-z]\b)?(?:{_EU})?",
         ),
         (
             ("street", "avenue", "road", "lane", "court", "terrace", "drive", "close", "crescent", "gardens", "place", "square", "way", "boulevard", "row", "walk", "mews", "hill", "grove", " rd", " blvd", " ln", " dr", " ct", " st", " ave", "pkwy"),
+            (),
             rf"(?<![\w#/.])\d{{1,5}}[A-Za-z]?,?{SP}{{1,2}}(?:{_N}{SP}{{1,2}}){{1,2}}{_WAY}(?!\w){_FLAT_NO}(?:{_US}|{_UK})?",
         ),
     )
@@ -104,6 +110,7 @@ _RUN = re.compile(r"\d+")
 # --- names ----------------------------------------------------------------------------------------------------------
 _JOIN = re.compile(rf"(?:\s++|-|(?<={SP})[^\W\d_]\.?(?={SP})|(?:von{SP}der|van{SP}der|van{SP}den|von|van|de{SP}la|del|de|der|den|da|di|du|la|le)(?=\s)|al-|el-|o['’]|d['’])++", re.IGNORECASE)
 _BEFORE = re.compile(rf"(?<![\w.@])(?:(?-i:[A-ZÀ-Þ])\.{SP}{{0,2}})*(?:(?:von{SP}der|van{SP}der|von|van|de{SP}la|del|de|der){SP}{{1,2}}|al-|el-|o['’]|d['’])?\Z", re.IGNORECASE)
+_PARTICLE_ENDS = ("von", "van", "der", "del", "de", "la")  # of what _BEFORE finds before a space
 _BARE_INITIAL = re.compile(rf"(?<![\w.'’])(?-i:[B-HJ-ZÀ-Þ]){SP}{{1,2}}\Z")
 _NAME_LABEL = re.compile(rf"\n{SP}*(?:Name|Full{SP}name|Patient|Applicant|Holder|Contact{SP}person|Signed{SP}by|Signed){SP}?(?::|-|){SP}{{1,2}}(?P<v>[^\W\d_][^\n\r\d,:@]+?(?:,{SP}[^\W\d_][^\n\r\d,:@.]+)?)(?={SP}*(?:[\n\r]|$|{SP}{SP}))")
 _NAMELIKE = re.compile(rf"(?:(?-i:[A-ZÀ-Þ])\.?{SP})?[^\W\d_]{{3,}}(?:(?:{SP}|-)(?:(?:von|der|van|de|la){SP})*(?:(?-i:[A-ZÀ-Þ])\.?{SP})?(?:al-|o['’])?[^\W\d_]{{3,}}){{0,3}}(?:,{SP}[^\W\d_]{{3,}})?", re.IGNORECASE)
@@ -157,11 +164,45 @@ def name_model(parts: list[tuple[str, str]]) -> dict[str, str]:
     return out
 
 
+def _matches(t: str, low: str, starts: list[int] | None, words: tuple[str, ...], pattern: re.Pattern) -> Iterator[re.Match]:
+    """What ``pattern.finditer(t)`` gives if one of ``words`` is in ``low``; tried only at ``starts``, if it can begin nowhere else."""
+    end, ok = 0, False
+    for m in pattern.finditer(t) if starts is None else map(pattern.match, repeat(t), starts):
+        if m and m.start() >= end:
+            ok = ok or any(w in low for w in words)
+            if not ok:
+                return
+            end = m.end()
+            yield m
+
+
+def _may_have_before(t: str, at: int) -> bool:
+    """Whether ``_BEFORE`` can find an initial or a particle that ends at ``at``."""
+    if not at:
+        return False
+    if t[at - 1] not in " \t\xa0":
+        return t[at - 1] in ".-'’"
+    while at and t[at - 1] in " \t\xa0":
+        at -= 1
+    return t[at - 1 : at] == "." or t[max(0, at - 3) : at].lower().endswith(_PARTICLE_ENDS)
+
+
+def _inside(spans: list[tuple[int, int]], at: int) -> bool:
+    for x, y in spans:
+        if x <= at < y:
+            return True
+    return False
+
+
 def _letter(c: str) -> bool:
     """What names are made of: a word character that is no decimal digit or underscore."""
     return c.isalpha() or c.isalnum() and not c.isdecimal()
 
 
+#: Which pattern of _ADDRESSES can begin at a word, or can occur only with it.
+_STARTS = {"box": 0} | {w: k for k, (_, at, _) in enumerate(_ADDRESSES) for w in at or ()}
+
+
 class Detector:
     """Finds mentions; ``model`` as of ``name_model``."""
 
@@ -171,38 +212,46 @@ class Detector:
         self.model = model
         self.word = re.compile(rf"[^\W\d_]{{{min(map(len, model), default=4)},}}")
         self.parts = ahocorasick.Automaton()
+        for w, k in _STARTS.items():
+            self.parts.add_word(w, (len(w), "", k))
         for p, r in model.items():
-            self.parts.add_word(p, (len(p), r))
-        if model:
-            self.parts.make_automaton()
+            self.parts.add_word(p, (len(p), r, _STARTS.get(p, -1)))
+        self.parts.make_automaton()
 
-    def known(self, t: str) -> list[tuple[int, int, str]]:
-        """(start, end, role) of the whole words that are name parts, in order."""
-        low = t.lower()
-        if len(low) != len(t):  # some letter has no lower case of one letter
+    def known(self, t: str, low: str) -> tuple[list[tuple[int, int, str]], list[list[int] | None]]:
+        """(start, end, role) of the whole words that are name parts, in order; where each pattern of ``_ADDRESSES`` can begin.
+
+        ``low``: ``t`` in lower case.
+        """
+        n, found, starts = len(t), [], [[] for _ in _ADDRESSES]
+        if len(low) != n:  # some letter has no lower case of one letter
             found = [(m.start(), m.end(), r) for m in self.word.finditer(t) if (r := self.model.get(m[0].lower()))]
+            starts = [None] * len(starts)
         else:
-            n, found = len(t), []
-            for last, (k, r) in self.parts.iter(low) if self.model else ():
+            for last, (k, r, at) in self.parts.iter(low):
                 a, b = last + 1 - k, last + 1
-                if (b == n or not _letter(low[b])) and (not a or not _letter(low[a - 1])):
+                if at >= 0:
+                    starts[at].append(a)
+                if r and (b == n or not _letter(low[b])) and (not a or not _letter(low[a - 1])):
                     found.append((a, b, r))
-        return [w for w in found if w[1] - w[0] > 3 or t[w[0]].isupper()]
+            houses = [m.start() for m in _HOUSE.finditer(t)]
+            odd = "ſ" in t or "ı" in t  # letters that a pattern takes for s and i, which lower() doesn't
+            starts = [houses if at == () else None if odd or at is None and own else own for own, (_, at, _) in zip(starts, _ADDRESSES)]
+        return [w for w in found if w[1] - w[0] > 3 or t[w[0]].isupper()], starts
 
-    def names(self, t: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def names(self, t: str, words: list[tuple[int, int, str]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         out = []
-        words = self.known(t)
         i = 0
         while i < len(words):
             a, b, role = words[i]
-            if any(x <= a < y for x, y in taken):
+            if _inside(taken, a):
                 i += 1
                 continue
             roles = role
             j = i + 1
             while j < len(words):
                 c, d, r = words[j]
-                if any(x <= c < y for x, y in taken):
+                if _inside(taken, c):
                     break
                 joins = _JOIN.fullmatch(t, b, c)
                 gap = t[b:c] if joins or c - b == 2 else ""
@@ -215,7 +264,7 @@ class Detector:
                 else:
                     break
                 b, roles, j = d, roles + r, j + 1
-            m = _BEFORE.search(t, max(0, a - 64), a)
+            m = _BEFORE.search(t, max(0, a - 64), a) if _may_have_before(t, a) else None
             if m and m.start() < a:
                 a = m.start()
             elif "g" not in roles and (m := _BARE_INITIAL.search(t, max(0, a - 4), a)):
@@ -237,35 +286,39 @@ class Detector:
 
     def numbers(self, t: str, at: int, upto: int, add) -> None:
         """Personal and phone numbers that begin in a stretch of digits and marks."""
-        while run := _RUN.search(t, at, upto):
+        end = 0
+        for run in _RUN.finditer(t, at, upto):
             start = at = run.start()
+            if at < end:
+                continue
             if at and t[at - 1].isalpha() and t[at - 1].isascii():
                 start = at - 2 if at > 1 and t[at - 2].isalpha() else at - 1
                 if start and (t[start - 1].isalnum() or t[start - 1] == "_"):
                     start = -1
             elif at > 2 and t[at - 1] in " /\xa0" and t[at - 3 : at - 1].isalpha() and t[at - 3 : at - 1].isascii() and (at == 3 or not t[at - 4].isalnum()):
                 start = at - 3
-            end = 0
             if start >= 0:
                 for s in (start, at) if start != at else (at,):
                     if s and (t[s - 1].isdigit() or t[s - 1] in "/.-" and s > 1 and t[s - 2].isalnum()):
                         continue
+                    p = s - 1 if s and t[s - 1] in "+(" else s
+                    if p and t[p - 1] == "+":
+                        p -= 1
+                    labelled = _ID_LABELLED.match(t, s)
+                    if not labelled and (s != at or not _PHONE.match(t, p)):  # a sure form is a labelled one too
+                        continue
                     tail = _label_before(t, s)
-                    if tail.endswith(ID_LABELS) and (m := _ID_LABELLED.match(t, s)):
-                        add(s, end := m.end(), "id_number")
+                    if labelled and tail.endswith(ID_LABELS):
+                        add(s, end := labelled.end(), "id_number")
                         break
                     if tail.endswith(OTHER_LABELS):
                         continue
-                    if not _CODE.search(t, max(0, s - 4), s) and (m := _ID_SURE.match(t, s)):
+                    if labelled and not _CODE.search(t, max(0, s - 4), s) and (m := _ID_SURE.match(t, s)):
                         add(s, end := m.end(), "id_number")
                         break
-                    p = s - 1 if s and t[s - 1] in "+(" else s
-                    if p and t[p - 1] == "+":
-                        p -= 1
                     if s == at and (m := _PHONE.match(t, p)):
                         add(p, end := m.end(), "phone")
                         break
-            at = end or run.end()
 
     def find(self, t: str | None) -> list[tuple[int, int, str]]:
         """(start, end, kind) of all mentions, in order."""
@@ -275,7 +328,10 @@ class Detector:
         taken: list[tuple[int, int]] = []
 
         def add(a: int, b: int, kind: str) -> None:
-            if a < b and not any(x < b and a < y for x, y in taken):
+            if a < b:
+                for x, y in taken:
+                    if x < b and a < y:
+                        return
                 taken.append((a, b))
                 out.append((a, b, kind))
 
@@ -288,21 +344,23 @@ class Detector:
             right = _DOMAIN.match(t, m.end())
             if left >= 0 and right:
                 add(left, right.end(), "email")
-        for words, pattern in _ADDRESSES:
-            if any(w in low for w in words):
-                for m in pattern.finditer(t):
-                    a, b = m.span()
-                    begin = a
-                    while a and _LETTER.match(t, a - 1) and _LETTER.match(t, a):  # the whole word that the street's kind ends
-                        a -= 1
-                    if a < begin and a and (t[a - 1].isdigit() or t[a - 1] == "_"):
-                        continue
-                    if t[a].isdigit() and (f := _FLAT.search(t, max(0, a - 64), a)):
-                        a = f.start()
-                    add(a, b, "address")
+        known, starts = self.known(t, low)
+        for at, (words, _, pattern) in zip(starts, _ADDRESSES):
+            if at == []:
+                continue
+            for m in _matches(t, low, at, words, pattern):
+                a, b = m.span()
+                begin = a
+                while a and _LETTER.match(t, a - 1) and _LETTER.match(t, a):  # the whole word that the street's kind ends
+                    a -= 1
+                if a < begin and a and (t[a - 1].isdigit() or t[a - 1] == "_"):
+                    continue
+                if t[a].isdigit() and (f := _FLAT.search(t, max(0, a - 64), a)):
+                    a = f.start()
+                add(a, b, "address")
         for region in _DIGITS.finditer(t):
             self.numbers(t, *region.span(), add)
-        for a, b in self.names(t, taken):
+        for a, b in self.names(t, known, taken):
             out.append((a, b, "name"))
         out.sort()
         return out

@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -55,6 +55,7 @@ _AT = re.compile(r"@|\[at\]|\(at\)|\{at\}|<at>|at(?=[\w-]+dot)")
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"\s+|\S+")
 LONGER = 8  # attempts of one length
+FEW = 10_000  # attempts of open entities that are made at once and settled by the driver; more are settled by joins, one attempt at a time
 
 
 @lru_cache(100_000)
@@ -79,9 +80,23 @@ def _letters(c: str) -> str:
     return _neighbours(ord(c) & ~127, script, unicodedata.category(c)) or c
 
 
+class _Pools(dict):
+    """By character of a value that is no name: its replacement for each keyed byte; empty if it stays."""
+
+    def __missing__(self, c: str) -> str:
+        p = "0123456789" if c.isdigit() else _letters(c) if c.isalpha() else ""
+        self[c] = out = p and "".join(p[x % len(p)] for x in range(256))
+        return out
+
+
+_POOLS = _Pools()
+
+
 def _bytes(secret: bytes, n: int, *parts: str) -> Iterator[int]:
     """``n`` keyed bytes at least."""
     own = "\x1f".join(parts)
+    if n < 64:
+        return iter(hashlib.blake2b(f"0\x1f{own}".encode(), key=secret).digest())
     return iter(b"".join(hashlib.blake2b(f"{k}\x1f{own}".encode(), key=secret).digest() for k in range(n // 64 + 1)))
 
 
@@ -103,7 +118,7 @@ def units(kind: str, value: str, roles: dict[str, str]) -> list[tuple[str, str]]
     """Entities of a mention: its name parts (``given`` or ``family``), or the value itself without case and spacing."""
     if kind != "name":
         return [(kind, _SPACE.sub("", value).lower())]
-    return [("given" if roles.get(w, "f") == "g" else "family", w) for w in (m[0].lower() for m in _UNIT.finditer(value)) if w not in PARTICLES]
+    return [("given" if roles.get(w, "f") == "g" else "family", w) for w in map(str.lower, _UNIT.findall(value)) if w not in PARTICLES]
 
 
 def surrogate(kind: str, canon: str, secret: bytes, attempt: int = 0, sex: str = "") -> str:
@@ -124,17 +139,10 @@ def surrogate(kind: str, canon: str, secret: bytes, attempt: int = 0, sex: str =
     if kind == "phone" and canon[:1] == "+" or canon[:2] == "00":
         at = 1 if canon[0] == "+" else 2
         keep = at + next((n for n in (1, 2) if canon[at : at + n] in _SHORT_CODES), 3)
-    made = []
-    for i, c in enumerate(canon):
-        if i < keep:
-            made.append(c)
-        elif c.isdigit():
-            made.append("0123456789"[next(s) % 10] if i else "0" if c == "0" else "123456789"[next(s) % 9])
-        elif c.isalpha():
-            p = _letters(c)
-            made.append(p[next(s) % len(p)])
-        else:
-            made.append(c)
+    made = list(canon[:keep])
+    if not keep and canon[:1].isdigit():
+        made.append("0" if canon[0] == "0" else "123456789"[next(s) % 9])
+    made += [p[next(s)] if (p := _POOLS[c]) else c for c in canon[len(made) :]]
     extra = [str(next(s) % 10) if kind in ("phone", "id_number") else "abcdefghij"[next(s) % 10] for _ in range(more)]
     if kind == "email":  # the notation of "at" stays readable; the domain is one that can't exist
         at = _AT.search(canon)
@@ -164,7 +172,9 @@ def rewrite(kind: str, value: str, made: list[str], secret: bytes) -> str:
         at += len(part)
         if part.isupper():
             own = own.upper()
-        elif not part.islower():
+        elif part[0].isupper() and not any(map(str.isupper, part[1:])):
+            own = own[:1].upper() + own[1:]
+        elif any(map(str.isupper, part)):
             own = "".join(x.upper() if c.isupper() else x for c, x in zip(part, own))
         out.append(own)
     return "".join(out) + new[at:]
@@ -183,19 +193,24 @@ def _found(key: str, kind_of_key: str, model: dict[str, str] | None, secret: byt
         first = lru_cache(100_000)(lambda k, c: surrogate(k, c, secret))
 
         @lru_cache(50_000)
-        def of(kind: str, value: str, hint: str, roles: tuple) -> tuple[list[str], list[str], str]:
-            own = units(kind, value, dict(roles) if model is None else model)
+        def of_name(value: str, hint: str, roles: tuple) -> tuple[list[str], str]:
+            own = units("name", value, dict(roles) if model is None else model)
             made = [first(*u) for u in own]
-            ents = [f"{u}\x1f{c}\x1f{gender(c)}\x1f{hint}" if u == "given" else f"{u}\x1f{c}\x1f\x1f" for u, c in own]
-            return ents, made, rewrite(kind, value, made, secret)
+            ents = [f"{u}\x1f{c}\x1f{gender(c)}\x1f{hint}\x1f{m}" if u == "given" else f"{u}\x1f{c}\x1f\x1f\x1f{m}" for (u, c), m in zip(own, made)]
+            return ents, rewrite("name", value, made, secret)
+
+        def of(kind: str, value: str) -> tuple[list[str], str]:  # these hardly occur again
+            ((_, c),) = units(kind, value, {})
+            made = surrogate(kind, c, secret)
+            return [f"{kind}\x1f{c}\x1f\x1f\x1f{made}"], rewrite(kind, value, [made], secret)
 
         for b in batches:
-            owner, start, end, kinds, values, ents, mades, at, repl = [], [], [], [], [], [], [], [0], []
+            owner, start, end, kinds, values, ents, at, repl = [], [], [], [], [], [], [0], []
             for i, (d, t) in enumerate(zip(of_row(b), b.column(2).to_pylist())):
                 roles = tuple(d.model.items()) if model is None else ()
                 for x, y, k in d.find(t):
                     v = t[x:y]
-                    own, made, new = of(k, v, _title(t, x) if k == "name" else "", roles)
+                    own, new = of_name(v, _title(t, x), roles) if k == "name" else of(k, v)
                     owner.append(i)
                     start.append(x)
                     end.append(y)
@@ -203,13 +218,23 @@ def _found(key: str, kind_of_key: str, model: dict[str, str] | None, secret: byt
                     values.append(v)
                     repl.append(new)
                     ents += own
-                    mades += made
                     at.append(len(ents))
             who, offsets = pa.array(owner, pa.int64()), pa.array(at, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.string())) for x in (ents, mades)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string()), *lists, pa.array(repl, pa.string())], names=[key, "same", "start_pos", "end_pos", "kind", "value", "entities", "made", "replacement"])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(ents, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string()), lists, pa.array(repl, pa.string())], names=[key, "same", "start_pos", "end_pos", "kind", "value", "entities", "replacement"])
+
+    return run, f"{key} {kind_of_key}, same bigint, start_pos bigint, end_pos bigint, kind string, value string, entities array<string>, replacement string"
 
-    return run, f"{key} {kind_of_key}, same bigint, start_pos bigint, end_pos bigint, kind string, value string, entities array<string>, made array<string>, replacement string"
+
+def settled(tries: Iterable[tuple[str, str, str, int]]) -> list[tuple[str, str, str]]:
+    """(kind, canon, made) of ``tries(kind, canon, made, attempt)``: attempt by attempt, the first entity by name takes a replacement."""
+    kept: dict[tuple[str, str], str] = {}
+    used: set[tuple[str, str]] = set()
+    for _, kind, canon, made in sorted((n, k, c, m) for k, c, m, n in tries):
+        if (kind, canon) not in kept and (kind, made) not in used:
+            kept[kind, canon] = made
+            used.add((kind, made))
+    return [(k, c, m) for (k, c), m in kept.items()]
 
 
 def exceptions(entities: DataFrame, secret: bytes) -> DataFrame:
@@ -224,25 +249,32 @@ def exceptions(entities: DataFrame, secret: bytes) -> DataFrame:
         return pd.Series([surrogate(k, c, secret, int(a), s) for k, c, s, a in zip(kind, canon, sex, attempt)], dtype=object)
 
     spark = entities.sparkSession
-    # one pass finds the replacements that two entities share or that are an entity; they are few
+    # one pass over hashes finds the replacements that two entities share or that are an entity; they are few, and one too many only tries again
     fits = entities.filter("given = sex")
-    both = fits.select("kind", "made", "canon").unionByName(entities.select("kind", F.col("canon").alias("made"), F.lit(None).cast("string").alias("canon")))
-    clash = both.groupBy("kind", "made").agg(F.min("canon").alias("keeps"), F.count("canon").alias("n"), F.count_if(F.col("canon").isNull()).alias("o")).filter("n > 1 or n > 0 and o > 0")
-    clash = materialize(clash.select("kind", "made", F.when(F.col("o") == 0, F.col("keeps")).alias("keeps")), "clash")
-    lost = fits.join(clash, ["kind", "made"]).filter("keeps is null or canon <> keeps").select("kind", "canon", "sex")
+    of = lambda c, made, own: (F.xxhash64("kind", c).alias("h"), F.lit(made).alias("n"), F.lit(own).alias("o"))
+    both = fits.select(*of("made", 1, 0)).unionByName(entities.select(*of("canon", 0, 1)))
+    clash = materialize(both.groupBy("h").agg(F.sum("n").alias("n"), F.sum("o").alias("o")).filter("n > 1 or n > 0 and o > 0").select("h"), "clash")
+    lost = fits.withColumn("h", F.xxhash64("kind", "made")).join(clash, "h", "left_semi").select("kind", "canon", "sex")
     originals = entities.select("kind", F.col("canon").alias("made"))
-    open_ = materialize(lost.unionByName(entities.filter("given <> sex").select("kind", "canon", "sex")).distinct(), "open")
-    done = spark.createDataFrame([], "kind string, canon string, made string")
+    open_ = materialize(lost.unionByName(entities.filter("given <> sex").select("kind", "canon", "sex")), "open")
+    schema = "kind string, canon string, made string"
+    done = spark.createDataFrame([], schema)
     attempt = 0
-    while not open_.isEmpty():
-        tried = materialize(open_.withColumn("attempt", F.lit(attempt)).withColumn("made", again("kind", "canon", "sex", "attempt")), "tried")
+    while n := open_.count():
+        width = max(1, min(LONGER, FEW // n))
+        tried = open_.select("*", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + width - 1))).alias("attempt"))
+        tried = materialize(tried.withColumn("made", again("kind", "canon", "sex", "attempt")), "tried")
         taken = originals.unionByName(entities.select("kind", "made")).unionByName(done.select("kind", "made"))
         bad = taken.join(tried.select("kind", "made").distinct(), ["kind", "made"], "left_semi").distinct()
-        won = tried.join(bad, ["kind", "made"], "left_anti").groupBy("kind", "made").agg(F.min("canon").alias("canon")).select("kind", "canon", "made")
+        free = tried.join(bad, ["kind", "made"], "left_anti")
+        if n > FEW:
+            won = free.groupBy("kind", "made").agg(F.min("canon").alias("canon")).select("kind", "canon", "made")
+        else:
+            won = spark.createDataFrame(settled(free.select("kind", "canon", "made", "attempt").collect()), schema)
         won = materialize(won, "settled")
         done = done.unionByName(won)
         open_ = materialize(open_.join(won, ["kind", "canon"], "left_anti"), "open")
-        attempt += 1
+        attempt += width
     return done
 
 
@@ -252,13 +284,13 @@ def replacements(df: DataFrame, model: dict[str, str] | DataFrame, secret: str,
     run, schema = _found(key, df.schema[key].dataType.simpleString(), None if isinstance(model, DataFrame) else model, k)
     rows = rows_for(df.filter(F.col(text).isNotNull()), model, key, text)
     found = materialize(rows.mapInArrow(run, schema), "mentions")
-    part = lambda i: F.split(F.col("x.entities"), "\x1f")[i]
-    long = found.select(F.explode(F.arrays_zip("entities", "made")).alias("x")).select(part(0).alias("kind"), part(1).alias("canon"), part(2).alias("given"), part(3).alias("hint"), F.col("x.made").alias("made"))
+    part = lambda e, i: F.split(e, "\x1f")[i]
+    long = found.select(F.explode("entities").alias("e")).select(*(part("e", i).alias(c) for i, c in enumerate(("kind", "canon", "given", "hint", "made"))))
     per = long.groupBy("kind", "canon", "made", "given").agg(F.count_if(F.col("hint") == "f").alias("nf"), F.count_if(F.col("hint") == "m").alias("nm"))
     sex = F.when(F.col("nf") > F.col("nm"), "f").when(F.col("nm") > F.col("nf"), "m").otherwise(F.col("given"))
     entities = materialize(per.select("kind", "canon", "made", "given", sex.alias("sex")), "entities")
     other = materialize(exceptions(entities, k), "exceptions")
-    at = found.select(key, "same", "start_pos", F.posexplode("entities").alias("i", "e")).select(key, "same", "start_pos", "i", F.split("e", "\x1f")[0].alias("kind"), F.split("e", "\x1f")[1].alias("canon"))
+    at = found.select(key, "same", "start_pos", F.posexplode("entities").alias("i", "e")).select(key, "same", "start_pos", "i", part("e", 0).alias("kind"), part("e", 1).alias("canon"))
     fixes = materialize(at.join(other, ["kind", "canon"]).groupBy(key, "same", "start_pos").agg(F.map_from_entries(F.collect_set(F.struct("i", "made"))).alias("fix")), "fixes")
 
     @F.pandas_udf(T.StringType())
@@ -266,8 +298,9 @@ def replacements(df: DataFrame, model: dict[str, str] | DataFrame, secret: str,
         return pd.Series([rewrite(a, v, list(m), k) for a, v, m in zip(kind, value, made)], dtype=object)
 
     cols = [key, "same", "start_pos", "end_pos", "kind", "value"]
+    fixes = fixes.hint("shuffle_hash")  # a part of them is small, and the mentions needn't be sorted
     whole = found.join(fixes, [key, "same", "start_pos"], "left_anti").select(*cols, "replacement")
-    fixed = F.transform("made", lambda m, i: F.coalesce(F.element_at("fix", i), m))
+    fixed = F.transform("entities", lambda e, i: F.coalesce(F.element_at("fix", i), part(e, 4)))
     return whole.unionByName(found.join(fixes, [key, "same", "start_pos"]).select(*cols, rewritten("kind", "value", fixed).alias("replacement")))
 
 
